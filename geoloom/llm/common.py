@@ -46,9 +46,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that very long texts stay within a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Arrow batches bounded in bytes, so that very long texts stay within a Python worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}MB")
 
 
 def joined(big: DataFrame, side: DataFrame, on: str | list[str], row_bytes: int, how: str = "inner") -> DataFrame:
