@@ -11,8 +11,9 @@ the similarity if their prefixes (n - ceil(t n) + 1 n-grams) share an n-gram, so
    it: two pairs a row, however long the run. Equal sets are one vertex from the start.
 3. Pairs that pass the length and positional filters are verified once each: the suffix filter, then the sizes of
    the intersections of the whole sets. Components of the links are found.
-4. Runs whose sets are still in more than one component are joined in full between different components, and the
-   pairs not yet verified are. Pairs within a component could change nothing, so no link between components is
+4. Runs whose sets are still in more than one component are joined in full between different components, under the
+   same filters and the suffix filter's bound from how many n-grams either set has in each of 64 parts of all
+   n-grams; the pairs not yet verified are. Pairs within a component could change nothing, so no link between components is
    lost and copies are never expanded into all pairs.
 
 Sets are known by a 64-bit name of all their n-grams, n-grams by 64-bit names.
@@ -36,6 +37,9 @@ from .common import joined, mix, shingle_sets, small_batches, stored, texts_of
 from .components import components
 
 BLOCK_BITS = 16
+#: Parts that the n-grams are divided into by their names, for the suffix filter before pairs are made.
+PARTS = 64
+SURVEY = ["doc_id", "n", "name", "parts", "block", "counts"]
 PERCENT = 75
 _SPAN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,10 +65,11 @@ def _survey(bits: int):
         counts = np.zeros(1 << bits, np.uint32)
         empty = pa.nulls
         for b in batches:
-            sizes, names, held, many = [], [], [], 0
+            sizes, names, parts, held, many = [], [], [], [], 0
             for items in shingle_sets(texts_of(b["text"])):
                 sizes.append(len(items))
                 names.append(set_name(items))
+                parts.append(np.minimum(np.bincount((items & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
                 held.append(items)
                 many += len(items)
                 if many > 1 << 20:
@@ -73,11 +78,11 @@ def _survey(bits: int):
             if held:
                 counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
             n = len(b)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), empty(n, pa.int32()), empty(n, pa.binary())], ["doc_id", "n", "name", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(parts, pa.list_(pa.int16())), empty(n, pa.int32()), empty(n, pa.binary())], SURVEY)
         width = 1 << min(bits, BLOCK_BITS)
         blocks = counts.reshape(-1, width)
         for k in np.flatnonzero(blocks.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([empty(1, pa.int64()), empty(1, pa.int64()), empty(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1)])], ["doc_id", "n", "name", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([empty(1, pa.int64()), empty(1, pa.int64()), empty(1, pa.int64()), empty(1, pa.list_(pa.int16())), pa.array([k], pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1)])], SURVEY)
 
     return run
 
@@ -136,10 +141,13 @@ def least_overlap_self(n: int, percent: int) -> int:
 
 
 def _passes(n1, at1, n2, at2, percent):
-    """Length and positional filters, on arrays."""
+    """Length and positional filters, on arrays.
+
+    From the first n-gram that two sets share on, both must have as many n-grams left as a link needs. A linked pair
+    passes where that n-gram's run is; at later ones it need not.
+    """
     lo, hi = np.minimum(n1, n2), np.maximum(n1, n2)
-    reach = 1 + np.minimum(at1, at2) + np.minimum(n1 - at1, n2 - at2) - 1
-    return (100 * lo >= percent * hi) & (reach >= least_overlap(n1, n2, percent))
+    return (100 * lo >= percent * hi) & (np.minimum(n1 - at1, n2 - at2) >= least_overlap(n1, n2, percent))
 
 
 def _propose(percent: int):
@@ -235,14 +243,17 @@ def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select("doc_id", "text")
-    survey = stored(docs.mapInArrow(_survey(sketch_bits), "doc_id long, n long, name long, block int, counts binary"), "survey")
+    survey = stored(docs.mapInArrow(_survey(sketch_bits), "doc_id long, n long, name long, parts array<short>, block int, counts binary"), "survey")
     blocks = survey.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, levels binary").collect()
     levels = np.zeros((max(1, (1 << sketch_bits) >> BLOCK_BITS), 1 << min(sketch_bits, BLOCK_BITS)), np.uint8)
     for r in blocks:
         levels[r.block] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
     sent = spark.sparkContext.broadcast(levels.ravel())  # 2**sketch_bits bytes, whatever the corpus
-    survey = survey.where("block is null").select("doc_id", "n", "name")
-    owners = survey.where("n > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    survey = survey.where("block is null").select("doc_id", "n", "name", "parts")
+    owned = survey.where("n > 0 and doc_id is not null").groupBy("name")
+    owners = owned.agg(F.min("doc_id").alias("doc_id"))
+    divided = owned.agg(F.min("parts").alias("parts"))
+    survey = survey.drop("parts")
 
     index = docs.mapInArrow(_prefixes(sent, percent, sketch_bits), "token long, name long, n int, at int, centre int")
     dealt = index.repartition("token").sortWithinPartitions("token", "centre", "name")
@@ -256,9 +267,10 @@ def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22
     placed = runs.select("token", "name", "n", "at").join(known.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     placed = stored(placed, "placed")
     open_runs = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rest = stored(placed.join(open_runs, "token", "left_semi"), "open")
+    rest = placed.join(open_runs, "token", "left_semi").where("(n - at) * {0} >= n * {1}".format(100, percent))
+    rest = stored(rest.join(divided, "name"), "open")
     x, y = rest.alias("x"), rest.alias("y")
-    fits = F.expr(f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and least(x.at, y.at) + least(x.n - x.at, y.n - y.at) >= ceil({percent} * (x.n + y.n) / {100 + percent})")
+    fits = F.expr(f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n) and {100 + percent} * aggregate(zip_with(x.parts, y.parts, (p, q) -> abs(p - q)), 0, (s, d) -> s + d) <= {100 - percent} * (x.n + y.n)")
     more = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).selectExpr("least(x.name, y.name) a", "greatest(x.name, y.name) b").distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     late = _verify(docs, more, owners, percent)
