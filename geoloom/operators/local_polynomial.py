@@ -70,7 +70,7 @@ def predict(evaluation: DataFrame, train: DataFrame, features: list[str], *, k:
     near = knn.join(evaluation, train, k, features, eid=eid, tid=tid, target=target)
     hoods = near.groupBy("eid").agg(F.array_sort(F.collect_list("tid")).alias("hood"))  # k ids a row
     asked = hoods.join(evaluation.select(F.col(eid).cast("long").alias("eid"), F.array(*(F.col(f).cast("double") for f in features)).alias("point")), "eid")
-    members = asked.select("hood").distinct().select("hood", F.explode("hood").alias("tid"))
+    members = asked.select(F.col("hood").alias("of")).distinct().select("of", F.explode("of").alias("tid"))
     members = members.join(train.select(F.col(tid).cast("long").alias("tid"), F.array(*(F.col(f).cast("double") for f in features)).alias("point"), F.col(target).cast("double").alias("z")), "tid")
 
     def fit(key, points: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -86,7 +86,7 @@ def predict(evaluation: DataFrame, train: DataFrame, features: list[str], *, k:
         out = design((np.stack(points.point.to_numpy()) - shift) / scale, chosen) @ model
         return pd.DataFrame({"eid": points.eid, "sm": np.clip(out, low, high), "degree": chosen})
 
-    return asked.groupBy("hood").cogroup(members.groupBy("hood")).applyInPandas(fit, SCHEMA)
+    return asked.groupBy("hood").cogroup(members.groupBy("of")).applyInPandas(fit, SCHEMA)
 
 
 def predict_global(evaluation: DataFrame, train: DataFrame, features: list[str], **how) -> DataFrame:
