@@ -51,9 +51,13 @@ def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}MB")
 
 
-def joined(big: DataFrame, side: DataFrame, on: str | list[str], row_bytes: int, how: str = "inner") -> DataFrame:
-    """Join a stored side: broadcast when its counted size is within BROADCAST_BYTES, else by a shuffle."""
-    fits = side.count() * row_bytes <= BROADCAST_BYTES
+def joined(big: DataFrame, side: DataFrame, on: str | list[str], row_bytes: int, how: str = "inner", items: str | None = None) -> DataFrame:
+    """Join a stored side: broadcast when its size is within BROADCAST_BYTES, else by a shuffle.
+
+    Its size is row_bytes for each row, and, where rows hold an array `items` of any length, 32 for each element.
+    """
+    size = F.count("*") * row_bytes + (F.coalesce(F.sum(F.size(items)), F.lit(0)) * 32 if items else 0)
+    fits = side.agg(size).first()[0] <= BROADCAST_BYTES
     return big.join(F.broadcast(side) if fits else side, on, how)
 
 

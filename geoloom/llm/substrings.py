@@ -210,7 +210,7 @@ def repeats(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> Da
     dealt = docs.mapInArrow(_suffixes(span, right), "key long, doc_id long, at int").repartition("key").sortWithinPartitions("key", "doc_id", "at")
     again = stored(dealt.mapInArrow(_met_again, "doc_id long, at int, first boolean"), "suffixes")
     marks = stored(again.groupBy("doc_id").agg(F.collect_list(F.struct("at", "first")).alias("marks")), "marks")  # at most a document long
-    rows = joined(docs, marks, "doc_id", 1000)
+    rows = joined(docs, marks, "doc_id", 64, items="marks")
     around = rows.mapInArrow(_surroundings(span, right), "key long, before binary, after binary, doc_id long, at int, first boolean").withColumns({"lo": F.lit(0), "hi": F.lit(0)})
     schema = "key long, before binary, after binary, doc_id long, at int, first boolean, lo int, hi int"
     dealt = around.repartition("key")
@@ -246,7 +246,7 @@ def cut(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> DataFr
     while name in documents.columns:
         name += "_"
     ranges = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias(name)), "ranges")
-    rows = joined(documents, ranges, "doc_id", 200, "left").select(*(F.col(f"`{c}`") for c in documents.columns), name)
+    rows = joined(documents, ranges, "doc_id", 64, "left", items=name).select(*(F.col(f"`{c}`") for c in documents.columns), name)
     fields = documents.columns
     counted = "n_chars" in fields and isinstance(documents.schema["n_chars"].dataType, T.IntegralType)
 
