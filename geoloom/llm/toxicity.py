@@ -31,6 +31,8 @@ WINDOW, STRIDE = 16, 8
 CACHE_WORDS = 300_000
 #: Training documents that a bucket must occur in to have an embedding.
 LEAST_DOCUMENTS = 4
+#: Steps of either descent, however few windows there are.
+LEAST_STEPS = 400
 
 
 def subwords(word: str, buckets: int) -> list[int]:
@@ -112,7 +114,8 @@ class _Bags:
 
 def _descend(table, head, bias, bags, labels, epochs, rate, rng, square, batch=256):
     order = np.flatnonzero([len(r) > 0 for r in bags.rows])
-    for _ in range(epochs):
+    batch = min(batch, max(16, len(order) // 8))
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(order))))):
         rng.shuffle(order)
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
