@@ -191,9 +191,9 @@ def mosaic_overlap_avg(spark, sf_dir):
 ORACLE_SQL["mosaic_overlap_avg"] = f"SELECT row, col, round(z, 6) AS z FROM {CELLS} WHERE row < 40"
 
 
-@query("SELECT l_suppkey AS row, l_linenumber::BIGINT AS col, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS z FROM lineitem GROUP BY ALL")
+@query("SELECT l_suppkey AS row, l_linenumber::BIGINT AS col, max_by(l_quantity, l_orderkey * 10000.0::DOUBLE + l_linenumber * 100 + l_quantity) AS z FROM lineitem GROUP BY ALL")
 def merge_last_wins(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey row", "cast(l_linenumber as bigint) col", "l_quantity z", "l_orderkey * 10 + l_linenumber at")
+    df = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey row", "cast(l_linenumber as bigint) col", "l_quantity z", "l_orderkey * 10000.0D + l_linenumber * 100 + l_quantity at")
     return grid.merge_last(df, "z", "at")
 
 
@@ -206,7 +206,7 @@ def band_stack(spark, sf_dir):
 FINE = grid.Grid(0.0, 1.0, 40.0, 1.0, 40, WIDE)
 
 
-@query(f"SELECT (row // 5)::BIGINT AS row, (col // 5)::BIGINT AS col, z FROM {CELLS} WHERE row % 5 = 2 AND col % 5 = 2 AND row < 40")
+@query(f"SELECT i // 10 AS row, i % 10 AS col, z FROM range(80) t(i) LEFT JOIN {CELLS} c ON c.row = i // 10 * 5 + 2 AND c.col = i % 10 * 5 + 2")
 def resample_nearest(spark, sf_dir):
     out = grid.resample_nearest(grid.Grid(0.0, 5.0, 40.0, 5.0, 8, 10), FINE, cells(spark, sf_dir), "z")
     return out.selectExpr("cast(row as bigint) row", "cast(col as bigint) col", "z")
@@ -431,7 +431,7 @@ def line_profile(spark, sf_dir):
     return r6(profile.line(cells(spark, sf_dir), "z", 2, 3, 32, 18), "distance")
 
 
-ORACLE_SQL["line_profile"] = f"SELECT i::INT AS step, round(sqrt((c.col - 2) ** 2 + (c.row - 3) ** 2), 6) AS distance, c.z FROM range(31) t(i) LEFT JOIN {CELLS} c ON c.col = 2 + i AND c.row = round_even(3 + i * 0.5::DOUBLE, 0)"
+ORACLE_SQL["line_profile"] = f"SELECT i::INT AS step, round(sqrt(i::DOUBLE ** 2 + (round_even(3 + i * 0.5::DOUBLE, 0) - 3) ** 2), 6) AS distance, c.z FROM range(31) t(i) LEFT JOIN {CELLS} c ON c.col = 2 + i AND c.row = round_even(3 + i * 0.5::DOUBLE, 0)"
 
 
 @query(f"SELECT b::INT AS bin, round(coalesce(avg(z), 0), 6) AS z FROM range(10) g(b) LEFT JOIN (SELECT least(floor(((col - 5) * 0.8 + (row - 5) * 0.6) * 10 / 25), 9) AS k, z FROM (SELECT col::DOUBLE AS col, row::DOUBLE AS row, z FROM {CELLS}) WHERE abs((col - 5) * 15 - (row - 5) * 20) / 25 <= 3 AND ((col - 5) * 20 + (row - 5) * 15) / 25 BETWEEN 0 AND 25) p ON k = b GROUP BY b")
