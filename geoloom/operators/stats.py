@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +85,36 @@ def variogram(points: DataFrame, x: str, y: str, z: str, width: float, bins: int
     gap = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
     both = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.i") < F.col("b.i")))
     return both.select(F.floor(gap / width).alias("bin"), F.pow(F.col("a.z") - F.col("b.z"), 2).alias("sq")).where(F.col("bin") < bins).groupBy("bin").agg(F.count("*").alias("n"), (F.avg("sq") / 2).alias("gamma"))
+
+
+def _shape(model: str, gap: np.ndarray, reach: float) -> np.ndarray:
+    t = gap / reach
+    if model == "spherical":
+        return np.where(t < 1, 1.5 * t - 0.5 * t**3, 1.0)
+    return 1 - np.exp(-3 * t) if model == "exponential" else 1 - np.exp(-3 * t**2)
+
+
+def fit_variogram(binned: DataFrame, width: float, model: str = "spherical", steps: int = 200) -> dict[str, float]:
+    """Nugget, partial sill and range that fit the rows of `variogram` best, weighted by their pairs.
+
+    For each of `steps` ranges up to twice the largest distance, nugget and sill are the solution of least squares,
+    neither negative. The rows are as many as there are bins.
+    """
+    if model not in ("spherical", "exponential", "gaussian"):
+        raise ValueError(f"unknown model {model}")
+    rows = binned.orderBy("bin").collect()
+    if not rows:
+        raise ValueError("no pairs")
+    gap, gamma, weight = (np.array(c, float) for c in zip(*(((r["bin"] + 0.5) * width, r["gamma"], r["n"]) for r in rows)))
+    root, best = np.sqrt(weight), None
+    for reach in np.linspace(2 * gap.max() / steps, 2 * gap.max(), steps):
+        f = _shape(model, gap, reach)
+        nugget, sill = np.linalg.lstsq(np.stack([root, root * f], 1), root * gamma, rcond=None)[0]
+        if nugget < 0:
+            nugget, sill = 0.0, (weight * f * gamma).sum() / (weight * f * f).sum()
+        elif sill < 0:
+            nugget, sill = (weight * gamma).sum() / weight.sum(), 0.0
+        error = (weight * (nugget + sill * f - gamma) ** 2).sum() / weight.sum()
+        if best is None or error < best["error"]:
+            best = {"nugget": float(nugget), "sill": float(sill), "range": float(reach), "error": float(error)}
+    return best

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import accuracy, forest, grid, knn, local_polynomial, points, prep, profile, region, stats, terrain
+from ..operators import accuracy, forest, grid, knn, local_polynomial, points, prep, profile, projection, region, stats, terrain
+from ..sources import sinks
+from ..streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -466,3 +468,53 @@ def scalar_month_to_int(spark, sf_dir):
 @query("SELECT event_id, CASE WHEN value <= 15 THEN 10 WHEN value <= 25 THEN 20 WHEN value <= 40 THEN 30 ELSE 50 END::DOUBLE AS snapped FROM events")
 def scalar_round_to_scale(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.round_to_scale(F.col("value"), [10, 20, 30, 50]).alias("snapped"))
+
+
+# -- projections, streams and sinks -------------------------------------------------------------------------------
+
+ALBERS = projection.Albers()
+LONLAT = f"(SELECT id, -96 + x * 100 AS lon, 37.5 + y * 40 AS lat FROM {PTS})"
+
+
+def _lonlat(spark, sf_dir):
+    return pts(spark, sf_dir).selectExpr("id", "-96 + x * 100 lon", "37.5 + y * 40 lat")
+
+
+def _albers_sql():
+    a, e = ALBERS, ALBERS.e
+    q = f"{1 - e * e!r} * (sin(radians(lat)) / (1 - {e * e!r} * sin(radians(lat)) ** 2) - ln((1 - {e!r} * sin(radians(lat))) / (1 + {e!r} * sin(radians(lat)))) / {2 * e!r})"
+    rho, theta = f"{a.a!r} * sqrt({a.c!r} - {a.n!r} * ({q})) / {a.n!r}", f"{a.n!r} * radians(lon - {a.lon0!r})"
+    return f"SELECT id, round(({rho}) * sin({theta}), 3) AS x, round({a.rho0!r} - ({rho}) * cos({theta}), 3) AS y FROM {LONLAT}"
+
+
+@query(_albers_sql())
+def albers_forward(spark, sf_dir):
+    x, y = ALBERS.forward(F.col("lon"), F.col("lat"))
+    return _lonlat(spark, sf_dir).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {LONLAT}")
+def albers_round_trip(spark, sf_dir):
+    x, y = ALBERS.forward(F.col("lon"), F.col("lat"))
+    lon, lat = ALBERS.inverse(F.col("px"), F.col("py"))
+    return _lonlat(spark, sf_dir).select("id", x.alias("px"), y.alias("py")).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def stream_daily_mean(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    stream = windows.file_stream(spark, path, table(spark, sf_dir, "events").schema)
+    means = windows.window_means(stream, "ts", ["event_type"], "value")
+    return r6(windows.run_to_end(means, ["event_type", "start"], windows.new_folder(spark, "daily")), "mean")
+
+
+@query(f"SELECT id, printf('%.9f', x) || ',' || printf('%.9f', y) || ',' || printf('%.9f', z) AS line FROM {PTS}")
+def fixed_precision_lines(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", F.concat_ws(",", *(sinks.fixed(F.col(c), 9) for c in ("x", "y", "z"))).alias("line"))
+
+
+@query()
+def variogram_fit(spark, sf_dir):
+    """Bins are counted first; the three numbers of the model are one row."""
+    fit = stats.fit_variogram(stats.variogram(pts(spark, sf_dir), "x", "y", "z", 0.05, 6), 0.05)
+    return spark.createDataFrame([tuple(fit.values())], ", ".join(f"`{k}` double" for k in fit))
