@@ -5,17 +5,13 @@ the smallest name, so any passage of `span` words that occurs twice holds, near
 both places. A suffix is known by the names of its word blocks: first its `right` words, then the words after them.
 
 1. Kept suffixes are sorted by their first block; those whose block occurs once are dropped, which is most of them.
-   The first occurrence by (doc_id, position) is the one that stays.
-2. For the rest, the words around are read again from the whole texts, the suffixes are sorted by the words to the
-   right and compared with their neighbours, then sorted by the words to the left, within the same partition, and
-   compared again; matches are extended both ways, and those of `span` words or more count. As a kept suffix stands
-   within span - right words of any window's start, that many words to either side are enough, and the matches of
-   successive suffixes cover passages of any length.
+2. Every window of `span` words belongs to one kept suffix, its minimiser, which stands within span - right words of
+   its start. The windows of the suffixes that are left are named from the whole texts and sorted by name; those whose
+   name occurs once are dropped. The others are all repeats there are, and their unions the passages of any length.
+   Of each window the first occurrence by (doc_id, position) is the one that stays.
 
 Sorting spills and runs are read as a stream, so a passage that a third of the corpus shares needs no memory. Words
-are lower-cased runs of non-white characters, and are compared by 64-bit block names and 32-bit word names. A match
-that is adjacent in neither order, to any neighbour, is not seen; it takes three texts that share the first block
-and pairwise different parts of its surroundings.
+are lower-cased runs of non-white characters. Blocks are compared by 64-bit names and windows by 96 bits.
 
 Edge cases: null, empty and short texts have no suffixes; a null doc_id never matches; rows that repeat a doc_id are
 one document, whose matches apply to each of them; passages repeated within one document count too; an empty table
@@ -34,6 +30,7 @@ from . import common
 from .common import hash_words, joined, mix, small_batches, stored, texts_of, word_spans
 
 SPAN, RIGHT, GRAM = 50, 35, 8
+OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def block_names(names: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -43,16 +40,16 @@ def block_names(names: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray
     return mix((total[starts + width] - total[starts]) * inverses[starts])
 
 
-def kept_suffixes(names: np.ndarray, counts: np.ndarray, span: int, right: int) -> np.ndarray:
-    """Positions, in the words of several texts, of the minimisers of every window that lies within one text."""
+def minimisers(names: np.ndarray, counts: np.ndarray, span: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window that lies within one of several texts, its start and its minimiser, as positions in their words."""
     ends = np.cumsum(counts)
     starts = [np.arange(e - c, e - span + 1) for c, e in zip(counts.tolist(), ends.tolist()) if c >= span]
     if not starts:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     starts = np.concatenate(starts)
     grams = block_names(names, np.arange(len(names) - GRAM + 1), GRAM)
     width = span - right + 1
-    return np.unique(starts + np.lib.stride_tricks.sliding_window_view(grams, width)[starts].argmin(1))
+    return starts, starts + np.lib.stride_tricks.sliding_window_view(grams, width)[starts].argmin(1)
 
 
 def _suffixes(span: int, right: int):
@@ -63,7 +60,7 @@ def _suffixes(span: int, right: int):
             b = b.filter(b["doc_id"].is_valid())
             docs = b["doc_id"].to_numpy(zero_copy_only=False)
             for first, names, counts in hash_words(texts_of(b["text"])):
-                at = kept_suffixes(names, counts, span, right)
+                at = np.unique(minimisers(names, counts, span, right)[1])
                 ends = np.cumsum(counts)
                 doc = np.searchsorted(ends, at, side="right")
                 yield pa.RecordBatch.from_arrays([pa.array(block_names(names, at, right).view(np.int64)), pa.array(docs[first + doc].astype(np.int64)), pa.array((at - (ends - counts)[doc]).astype(np.int32))], ["key", "doc_id", "at"])
@@ -71,129 +68,82 @@ def _suffixes(span: int, right: int):
     return run
 
 
-def _met_again(batches):
-    """Streams rows sorted by (key, doc_id, at): gives out those whose key has two places or more, and whether first."""
-    held = None  # the open run's last row, with whether it is the run's first and whether it was given out
-    for b in batches:
-        key, doc, at = (b[c].to_numpy() for c in ("key", "doc_id", "at"))
-        if held is not None:
-            key, doc, at = (np.concatenate([[h], c]) for h, c in zip(held, (key, doc, at)))
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-        key, doc, at = key[keep], doc[keep], at[keep]
-        follows = np.zeros(len(key), bool)
-        follows[1:] = key[1:] == key[:-1]
-        many = follows.copy()
-        many[:-1] |= follows[1:]
-        first = ~follows
-        if held is not None:
-            first[0] = held[3]
-            many[0] &= not held[4]
-        given = bool(follows[-1]) or (len(key) == 1 and held is not None and held[4])
-        rows = np.flatnonzero(many)
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rows].astype(np.int64)), pa.array(at[rows].astype(np.int32)), pa.array(first[rows])], ["doc_id", "at", "first"])
-        held = key[-1], doc[-1], at[-1], bool(first[-1]), given
-
-
-def _surroundings(span: int, right: int):
-    """Rows (key, before, after, doc_id, at, first): the names of the words before, nearest first, and after."""
-    side = span - right
+def _met_again(*by: str):
+    """Streams rows sorted by (*by, doc_id, at): gives out those whose name, by, has two places or more, and whether first."""
 
     def run(batches):
+        held = None  # the open run's last row, with whether it is the run's first and whether it was given out
         for b in batches:
-            docs, marks = b["doc_id"].to_numpy(), b["marks"].to_pylist()
-            for start, names, counts in hash_words(texts_of(b["text"])):
-                end = 0
-                short = (names >> np.uint64(32)).astype(">u4")
-                for k, n in enumerate(counts.tolist()):
-                    own, end = short[end : end + n], end + n
-                    mine = marks[start + k]
-                    at = np.array([m["at"] for m in mine], np.int64)
-                    ok = at + right <= n  # a repeated doc_id may bring marks of another text
-                    at, first = at[ok], np.array([m["first"] for m in mine], bool)[ok]
-                    if not len(at):
-                        continue
-                    key = block_names(names[end - n : end], at, right).view(np.int64)
-                    before = [own[max(0, p - side) : p][::-1].tobytes() for p in at.tolist()]
-                    after = [own[p + right : p + span].tobytes() for p in at.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(np.full(len(at), docs[start + k])), pa.array(at.astype(np.int32)), pa.array(first)], ["key", "before", "after", "doc_id", "at", "first"])
+            cols = [b[c].to_numpy() for c in (*by, "doc_id", "at")]
+            if held is not None:
+                cols = [np.concatenate([[h], c]) for h, c in zip(held[0], cols)]
+            keep = np.ones(len(cols[0]), bool)
+            keep[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            cols = [c[keep] for c in cols]
+            doc, at = cols[-2:]
+            follows = np.zeros(len(at), bool)
+            follows[1:] = np.all([c[1:] == c[:-1] for c in cols[:-2]], axis=0)
+            many = follows.copy()
+            many[:-1] |= follows[1:]
+            first = ~follows
+            if held is not None:
+                first[0] = held[1]
+                many[0] &= not held[2]
+            given = bool(follows[-1]) or (len(at) == 1 and held is not None and held[2])
+            rows = np.flatnonzero(many)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows].astype(np.int64)), pa.array(at[rows].astype(np.int32)), pa.array(first[rows])], ["doc_id", "at", "first"])
+            held = [c[-1] for c in cols], bool(first[-1]), given
 
     return run
 
 
-def _common(x: bytes, y: bytes) -> int:
-    """Words that two surroundings share, from the suffix outwards."""
-    if x == y:
-        return len(x) // 4
-    n = min(len(x), len(y)) // 4
-    for k in range(n):
-        if x[4 * k : 4 * k + 4] != y[4 * k : 4 * k + 4]:
-            return k
-    return n
-
-
-def _compare(span: int, right: int, last: bool):
-    """Streams rows sorted within their key; compares each with its neighbours and with its key's first row.
-
-    lo and hi are the furthest ends of its matches so far, 0 and 0 without one. With `last`, only matches go on.
-    """
-    columns = ("key", "before", "after", "doc_id", "at", "first", "lo", "hi")
-
-    def meet(x, y):
-        if x[0] != y[0] or (x[3] == y[3] and x[4] == y[4]):
-            return
-        left, more = _common(x[1], y[1]), _common(x[2], y[2])
-        if left + right + more >= span:
-            for z in (x, y):
-                z[6], z[7] = min(z[6], -left), max(z[7], right + more)
-
-    def batch(rows):
-        rows = [r for r in rows if not last or r[7]]
-        cols = list(zip(*rows)) if rows else [()] * 8
-        return pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()))], list(columns))
+def _windows(span: int, right: int):
+    """Rows (key, more, doc_id, at) of every window whose minimiser is marked; key and more are its name."""
 
     def run(batches):
-        held = head = None
         for b in batches:
-            out = []
-            for row in zip(*(b[c].to_pylist() for c in columns)):
-                row = list(row)
-                if held is None or held[0] != row[0]:
-                    head = row
-                else:
-                    meet(held, row)
-                    if head is not held:
-                        meet(list(head), row)
-                if held is not None:
-                    out.append(held)
-                held = row
-            yield batch(out)
-        if held is not None:
-            yield batch([held])
+            docs, marks = b["doc_id"].to_numpy(), b["marks"].to_pylist()
+            for start, names, counts in hash_words(texts_of(b["text"])):
+                starts, at = minimisers(names, counts, span, right)
+                ends = np.cumsum(counts)
+                marked = np.zeros(len(names), bool)
+                for mine, n, end in zip(marks[start : start + len(counts)], counts.tolist(), ends.tolist()):
+                    mine = np.array(mine, np.int64)
+                    marked[end - n + mine[mine < n]] = True  # a repeated doc_id may bring marks of another text
+                starts = starts[marked[at]]
+                doc = np.searchsorted(ends, starts, side="right")
+                more = block_names(mix(names + OTHER), starts, span) >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays([pa.array(block_names(names, starts, span).view(np.int64)), pa.array(more.astype(np.uint32).view(np.int32)), pa.array(docs[start + doc].astype(np.int64)), pa.array((starts - (ends - counts)[doc]).astype(np.int32))], ["key", "more", "doc_id", "at"])
 
     return run
 
 
 def _merge(span: int):
-    """A document's matches as maximal ranges, those to be cut and those of first occurrences apart."""
+    """Streams windows sorted by (doc_id, first, at): maximal ranges, those to be cut and those of first occurrences apart."""
+
+    def ranges(doc, start, stop, kept):
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(kept, pa.bool_())], ["doc_id", "start_word", "end_word", "kept"])
 
     def run(batches):
+        held = None  # the open range's last window, and the range's start
         for b in batches:
-            out = []
-            for doc, found in zip(b["doc_id"].to_pylist(), b["found"].to_pylist()):
-                for kept in (False, True):
-                    at = None
-                    for lo, hi in sorted((m["start"], m["stop"]) for m in found if m["kept"] == kept):
-                        if at is None or lo > at[1]:
-                            if at:
-                                out.append((doc, *at, kept))
-                            at = [lo, hi]
-                        at[1] = max(at[1], hi)
-                    if at:
-                        out.append((doc, *at, kept))
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["doc_id", "start_word", "end_word", "kept"])
+            cols = [b[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "first", "at")]
+            if held is not None:
+                cols = [np.concatenate([[h], c]) for h, c in zip(held[0], cols)]
+            doc, first, at = cols
+            new = np.ones(len(at), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (at[1:] - at[:-1] > span)
+            heads = np.flatnonzero(new)
+            starts = at[heads]
+            if held is not None:
+                starts[0] = held[1]
+            done = heads[1:] - 1
+            yield ranges(doc[done], starts[:-1], at[done] + span, first[done])
+            held = [c[-1] for c in cols], starts[-1]
+        if held is not None:
+            (doc, first, at), start = held
+            yield ranges([doc], [start], [at + span], [first])
 
     return run
 
@@ -201,23 +151,19 @@ def _merge(span: int):
 def repeats(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> DataFrame:
     """(doc_id, start_word, n_words, kept): the passages of `span` words or more that occur more than once.
 
-    Ranges of words in the document's whole text; kept: the first occurrence. Only documents with such passages.
+    Ranges of words in the document's whole text; kept: first occurrences of windows of `span` words. Only documents with such passages.
     """
     if not GRAM <= right < span:
         raise ValueError("8 <= right < span is needed")
     small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     dealt = docs.mapInArrow(_suffixes(span, right), "key long, doc_id long, at int").repartition("key").sortWithinPartitions("key", "doc_id", "at")
-    again = stored(dealt.mapInArrow(_met_again, "doc_id long, at int, first boolean"), "suffixes")
-    marks = stored(again.groupBy("doc_id").agg(F.collect_list(F.struct("at", "first")).alias("marks")), "marks")  # at most a document long
+    again = stored(dealt.mapInArrow(_met_again("key"), "doc_id long, at int, first boolean").select("doc_id", "at"), "suffixes")
+    marks = stored(again.groupBy("doc_id").agg(F.collect_list("at").alias("marks")), "marks")  # at most a document long
     rows = joined(docs, marks, "doc_id", 64, items="marks")
-    around = rows.mapInArrow(_surroundings(span, right), "key long, before binary, after binary, doc_id long, at int, first boolean").withColumns({"lo": F.lit(0), "hi": F.lit(0)})
-    schema = "key long, before binary, after binary, doc_id long, at int, first boolean, lo int, hi int"
-    dealt = around.repartition("key")
-    by_right = dealt.sortWithinPartitions("key", "after", "doc_id", "at").mapInArrow(_compare(span, right, False), schema)
-    by_left = by_right.sortWithinPartitions("key", "before", "doc_id", "at").mapInArrow(_compare(span, right, True), schema)
-    found = by_left.select("doc_id", F.struct((F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi")).alias("stop"), F.col("first").alias("kept")).alias("found"))
-    merged = found.groupBy("doc_id").agg(F.collect_list("found").alias("found")).mapInArrow(_merge(span), "doc_id long, start_word long, end_word long, kept boolean")
+    named = rows.mapInArrow(_windows(span, right), "key long, more int, doc_id long, at int").repartition("key").sortWithinPartitions("key", "more", "doc_id", "at")
+    found = named.mapInArrow(_met_again("key", "more"), "doc_id long, at int, first boolean")
+    merged = found.repartition("doc_id").sortWithinPartitions("doc_id", "first", "at").mapInArrow(_merge(span), "doc_id long, start_word long, end_word long, kept boolean")
     return merged.selectExpr("doc_id", "start_word", "end_word - start_word n_words", "kept")
 
 

@@ -123,6 +123,30 @@ def test_substrings(docs, none):
     assert substrings.without("a b  c d", [(1, 2)]) == "a  d"
 
 
+def windows(texts):
+    """Places (doc_id, first word) of every 50-word window that has several."""
+    at = collections.defaultdict(list)
+    for d, t in sorted(texts.items()):
+        w = words(t)
+        for i in range(len(w) - 49):
+            at[tuple(w[i : i + 50])].append((d, i))
+    return {w: x for w, x in at.items() if len(x) > 1}
+
+
+def test_substrings_of_templates(spark):
+    """One block, many documents that agree on either side or both: every repeated window counts, and its first is kept."""
+    r, shared = random.Random(5), prose(30, 44)
+    texts = {d: f"{prose(100 + r.randrange(12), 4)} {shared} {prose(200 + r.randrange(12), 4)}" for d in range(300)}
+    want, got = ({k: collections.defaultdict(set) for k in (True, False)} for _ in range(2))
+    for places in windows(texts).values():
+        for k, (d, i) in enumerate(places):
+            want[k == 0][d].update(range(i, i + 50))
+    for x in substrings.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[x.kept][x.doc_id].update(range(x.start_word, x.start_word + x.n_words))
+    assert got == want and sum(map(len, want[False].values())) > 8000
+
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens_are_the_librarys(name):
     make = tokens.Ids(public_tokenizers.path(name))
