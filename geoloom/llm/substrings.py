@@ -182,16 +182,34 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
+def unkept(marks: list[dict]) -> list[tuple[int, int]]:
+    """The parts of a document's passages (first word, number of words) that are in no passage it keeps."""
+    out = []
+    stay = sorted((m["start_word"], m["start_word"] + m["n_words"]) for m in marks if m["kept"])
+    for m in marks:
+        if not m["kept"]:
+            at, end = m["start_word"], m["start_word"] + m["n_words"]
+            for lo, hi in stay:
+                if lo < end and hi > at:
+                    if lo > at:
+                        out.append((at, lo - at))
+                    at = hi
+            if at < end:
+                out.append((at, end - at))
+    return out
+
+
 def cut(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> DataFrame:
     """The documents without the passages that an earlier document (or place) has, with their own columns.
 
+    The first occurrence of every repeated window of `span` words stays whole, also where a passage to be cut overlaps it.
     An integer column n_chars is set to the new length; a document of which only white characters remain goes.
     """
-    found = repeats(documents, span=span, right=right).where("not kept")
+    found = repeats(documents, span=span, right=right)
     name = "ranges"
     while name in documents.columns:
         name += "_"
-    ranges = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias(name)), "ranges")
+    ranges = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias(name)).where(F.exists(name, lambda m: ~m["kept"])), "ranges")
     rows = joined(documents, ranges, "doc_id", 64, "left", items=name).select(*(F.col(f"`{c}`") for c in documents.columns), name)
     fields = documents.columns
     counted = "n_chars" in fields and isinstance(documents.schema["n_chars"].dataType, T.IntegralType)
@@ -202,7 +220,7 @@ def cut(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> DataFr
             stay, sizes = [], b["n_chars"].to_pylist() if counted else None
             for k, mine in enumerate(marks):
                 if mine:
-                    texts[k] = without(texts[k], [(m["start_word"], m["n_words"]) for m in mine])
+                    texts[k] = without(texts[k], unkept(mine))
                     if counted:
                         sizes[k] = len(texts[k])
                 stay.append(not mine or bool(texts[k].strip()))

@@ -146,6 +146,25 @@ def test_substrings_of_templates(spark):
     assert got == want and sum(map(len, want[False].values())) > 8000
 
 
+def test_cut_keeps_every_window(spark):
+    """The first document with a block quotes less than a window, or has an edit; passages follow on from others."""
+    texts, near = {}, prose(301, 100).split()
+    near[30] = "changed"
+    for k, head in enumerate((" ".join(prose(300, 100).split()[20:62]), " ".join(near))):
+        texts |= {10 * k: head} | {10 * k + j: f"{prose(310 + 10 * k + j, 20)} {prose(300 + k, 100)} {prose(330 + 10 * k + j, 20)}" for j in range(1, 5)}
+    a, b, c = (prose(k, 100) for k in (350, 351, 352))
+    texts |= {20: a, 21: f"{a} {b}", 22: f"{a} {b}", 23: f"{c} {b}", 24: f"{c} {b} {a}", 25: prose(353, 1) + " again" * 200}
+    found = windows(texts)
+    cut = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = collections.defaultdict(set)
+    for d, t in substrings.cut(cut).collect():
+        w = words(t)
+        for i in range(len(w) - 49):
+            left[tuple(w[i : i + 50])].add((d, i))
+    assert len(found) > 200 and {len(left[w]) for w in found} == {1}
+    assert substrings.unkept([dict(start_word=s, n_words=n, kept=k) for s, n, k in ((0, 60, False), (10, 50, True), (80, 90, False), (90, 50, True))]) == [(0, 10), (80, 10), (140, 30)]
+
+
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens_are_the_librarys(name):
