@@ -223,8 +223,9 @@ def _verify(documents: DataFrame, pairs: DataFrame, owners: DataFrame, percent:
 
     def sets(batches):
         for b in batches:
-            ready = [s.tobytes() for s in shingle_sets(texts_of(b["text"]))]
-            yield pa.RecordBatch.from_arrays([b["name"], pa.array(ready, pa.binary())], ["name", "items"])
+            found = list(shingle_sets(texts_of(b["text"])))
+            own = pa.array([set_name(s) == n for s, n in zip(found, b["name"].to_pylist())], pa.bool_())  # a repeated doc_id may bring another text
+            yield pa.RecordBatch.from_arrays([b["name"], pa.array([s.tobytes() for s in found], pa.binary())], ["name", "items"]).filter(own)
 
     found = stored(rows.mapInArrow(sets, "name long, items binary").dropDuplicates(["name"]), "sets")
 

@@ -74,6 +74,14 @@ def test_jaccard(docs, none):
     assert jaccard.classes(none, sketch_bits=16).count() == 0
 
 
+def test_jaccard_of_a_repeated_doc_id(spark):
+    """Sets are read back by doc_id: two texts of one are not taken for each other."""
+    pairs = [(i, prose(400 + i, 60)) for i in range(20)]
+    texts = pairs + [(i, prose(500 + i, 60)) for i in range(20)] + [(100 + i, t + " more") for i, t in pairs] + [(200 + i, prose(500 + i, 60) + " more") for i in range(20)]
+    got = jaccard.classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), sketch_bits=16).collect()
+    assert len(got) == 80 and all(r.component_id == r.doc_id % 100 for r in got)
+
+
 def test_jaccard_runs_cross_batches():
     import pyarrow as pa
 
