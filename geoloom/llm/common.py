@@ -7,7 +7,8 @@ machine, and every text is hashed whole.
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -61,6 +62,18 @@ def joined(big: DataFrame, side: DataFrame, on: str | list[str], row_bytes: int,
     return big.join(F.broadcast(side) if fits else side, on, how)
 
 
+def released(run):
+    """The function of a task, with freed memory given back to the system at its end: idle workers hold none of it."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
@@ -81,13 +94,18 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            table, step = _powers[i], np.uint64(base)
-            while len(table) < n:
-                table = np.concatenate([table, table * (table[-1:] * step)])
-            _powers[i] = table
-    return _powers
+    """Powers of both bases, at least n; a worker keeps those that most texts need."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for table, base in zip(_powers, (_BASE, _BASE_INVERSE)):
+        step = np.uint64(base)
+        while len(table) < n:
+            table = np.concatenate([table, table * (table[-1:] * step)])
+        made.append(table)
+    if n <= 2 * CHUNK_BYTES:
+        _powers[:] = made
+    return made
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, small_batches, stored, texts_of
+from .common import joined, released, small_batches, stored, texts_of
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 BLOCK = 1 << 14
@@ -88,7 +88,7 @@ def identities(rows: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """(uid, level, name) of rows (uid, text): equal exactly for rows whose normalised texts are equal."""
     small_batches(rows.sparkSession)
     level = 0
-    named = stored(_named(rows.select("uid", "text").mapInArrow(_blocks(block), f"content binary, places {_PLACES}")), "names")
+    named = stored(_named(rows.select("uid", "text").mapInArrow(released(_blocks(block)), f"content binary, places {_PLACES}")), "names")
     out = named.where("of = 1").selectExpr("uid", "0 level", "name")
     most = named.agg(F.max("of")).first()[0] or 1
     named = named.where("of > 1")
@@ -123,7 +123,7 @@ def dedup(documents: DataFrame, *, block: int = BLOCK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], pa.array(out)], ["uid", "doc_id", "text_sha256"])
 
     rows = with_uid(documents.select("doc_id", "text"))
-    digests = rows.mapInArrow(digest, "uid long, doc_id long, text_sha256 string")
+    digests = rows.mapInArrow(released(digest), "uid long, doc_id long, text_sha256 string")
     return groups(rows, block=block).join(digests.select("uid", "text_sha256"), "uid").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import released, small_batches
 from .tokens import encoder, with_end
 
 
@@ -160,7 +160,7 @@ def pack(documents: DataFrame, path: str, *, limits: Limits = Limits(), end: int
 
         key = 0
         for b in batches:
-            ids, sizes = with_end(*make(texts_of(b["text"])), end)
+            ids, sizes = with_end(*make(b["text"]), end)
             ends = np.cumsum(sizes)
             order = []
             for doc, size, stop, loss in zip(b["doc_id"].to_pylist(), sizes.tolist(), ends.tolist(), b["loss_from"].to_pylist()):
@@ -173,4 +173,4 @@ def pack(documents: DataFrame, path: str, *, limits: Limits = Limits(), end: int
         packer.finish()
         yield give(packer.take())
 
-    return rows.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(released(run), SCHEMA + (", ids binary" if with_ids else ""))

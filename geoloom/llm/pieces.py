@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts_of
-from .tokens import PieceCache
+from .common import released, small_batches, texts_of
+from .tokens import PieceCache, joined_ids
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
@@ -192,13 +193,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, begin and end ids with them, and how many each text has."""
-        orders, new = self.cache.numbers([UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
-        if new:
-            coded = [self.unit(u) for u in new]
-            sizes = np.array([len(c) for c in coded], np.int64)
-            self.cache.put(np.cumsum(sizes) - sizes, sizes, [np.array([i for c in coded for i in c], np.uint32)])
-        ids, by = self.cache.gather(orders)
-        ids = np.insert(ids, np.concatenate([by[:-1], by[1:]]), [self.v.begin] * len(texts) + [self.v.end] * len(texts)) if len(texts) else ids
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        flat = pa.array(list(itertools.chain.from_iterable(units)), pa.large_string())
+        ids, sizes = self.cache.gather(flat, lambda new: joined_ids([self.unit(u) for u in new.to_pylist()]))
+        by = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, units)])]
+        ids = np.insert(ids, np.concatenate([by[:-1], by[1:]]), [self.v.begin] * len(texts) + [self.v.end] * len(texts))
         # np.insert keeps the order of equal places as given: an end id must come before the next begin id
         lengths = np.diff(by) + 2
         stops = np.cumsum(lengths)
@@ -243,4 +244,4 @@ def transcode(documents: DataFrame, path: str, *, with_ids: bool = False) -> Dat
                 arrays += [pa.array([ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())], pa.list_(pa.int32())), pa.array([t.decode("utf-8", "replace") for t in texts])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
+    return documents.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))

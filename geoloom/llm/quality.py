@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import released, small_batches, texts_of
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 12
 BUCKETS = WORD_BUCKETS + 2 * SHAPE_BUCKETS
@@ -134,7 +134,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", samp
             both = [make.of(t) for t in texts_of(b["text"])]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["rating"], pa.array([i for i, _ in both], pa.list_(pa.int32())), pa.array([v for _, v in both], pa.list_(pa.float32()))], ["doc_id", "rating", "ids", "values"])
 
-    table = rows.mapInArrow(extract, "doc_id long, rating double, ids array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending")])
+    table = rows.mapInArrow(released(extract), "doc_id long, rating double, ids array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending")])
     found = list(zip((np.array(x) for x in table["ids"].to_pylist()), (np.array(x) for x in table["values"].to_pylist())))
     found = [(i.astype(np.int64), v) for i, v in found]
     return train(found, table["rating"].to_numpy())
@@ -167,14 +167,14 @@ def grade(documents: DataFrame, labels: DataFrame, *, label: str = "quality", ta
                 _, tail = scores(b["text"])
                 yield b.filter(pa.array(tail >= least))
 
-        return documents.mapInArrow(mark, documents.schema)
+        return documents.mapInArrow(released(mark), documents.schema)
 
     def run(batches):
         for b in batches:
             expected, tail = scores(b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(expected), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return documents.select("doc_id", "text").mapInArrow(released(run), "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 _made: list[Features] = []

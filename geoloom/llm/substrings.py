@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import hash_words, joined, mix, small_batches, stored, texts_of, word_spans
+from .common import hash_words, joined, mix, released, small_batches, stored, texts_of, word_spans
 
 SPAN, RIGHT, GRAM = 50, 35, 8
 OTHER = np.uint64(0xA0761D6478BD642F)
@@ -157,11 +157,11 @@ def repeats(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> Da
         raise ValueError("8 <= right < span is needed")
     small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
-    dealt = docs.mapInArrow(_suffixes(span, right), "key long, doc_id long, at int").repartition("key").sortWithinPartitions("key", "doc_id", "at")
+    dealt = docs.mapInArrow(released(_suffixes(span, right)), "key long, doc_id long, at int").repartition("key").sortWithinPartitions("key", "doc_id", "at")
     again = stored(dealt.mapInArrow(_met_again("key"), "doc_id long, at int, first boolean").select("doc_id", "at"), "suffixes")
     marks = stored(again.groupBy("doc_id").agg(F.collect_list("at").alias("marks")), "marks")  # at most a document long
     rows = joined(docs, marks, "doc_id", 64, items="marks")
-    named = rows.mapInArrow(_windows(span, right), "key long, more int, doc_id long, at int").repartition("key").sortWithinPartitions("key", "more", "doc_id", "at")
+    named = rows.mapInArrow(released(_windows(span, right)), "key long, more int, doc_id long, at int").repartition("key").sortWithinPartitions("key", "more", "doc_id", "at")
     found = named.mapInArrow(_met_again("key", "more"), "doc_id long, at int, first boolean")
     merged = found.repartition("doc_id").sortWithinPartitions("doc_id", "first", "at").mapInArrow(_merge(span), "doc_id long, start_word long, end_word long, kept boolean")
     return merged.selectExpr("doc_id", "start_word", "end_word - start_word n_words", "kept")
@@ -227,4 +227,4 @@ def cut(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> DataFr
             new = {"text": pa.array(texts, b["text"].type)} | ({"n_chars": pa.array(sizes, b["n_chars"].type)} if counted else {})
             yield pa.RecordBatch.from_arrays([new.get(c, b[c]) for c in fields], fields).filter(pa.array(stay, pa.bool_()))
 
-    return rows.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(released(run), documents.schema)

@@ -4,73 +4,113 @@ The library's own encoding of every distinct piece is kept, and texts are put to
 where its pre-tokenizer always ends a token, whatever stands around: for vocabularies that drop white space at ASCII
 white space; for byte-level ones before a space that stands between two non-white characters. A text without such a
 structure (runs of spaces, odd white space) goes to the library whole. So the ids are those of the whole text.
+Strings of special tokens that stand in a text are ordinary text, as the vocabularies' own notes load them.
 """
 
 from __future__ import annotations
 
-import itertools
+import codecs
 import json
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_PIECES = 600_000
+#: What a worker's cache may hold, in bytes.
+CACHE_BYTES = 24 << 20
+#: Longer pieces are encoded anew in each batch.
+LONGEST_KEPT = 64
 #: Pieces that are encoded as one text, the library's cost being by the call.
 TOGETHER = 256
+#: Texts that are encoded by one call, so that the library's own results stay small.
+CALL = 64
 #: A space after which anything but a plain character comes: such a text goes to the library whole.
-LOOSE = re.compile(r" (?![!-~]|[^\W_])")
-SPACED = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+LOOSE = r" ([^!-~\pL\pN]|$)"
+SPACES = r"[ \t\n\r\x0b\x0c]+"
+#: Letters of long standing, which every pre-tokenizer takes as one word, and perhaps a mark after them.
+PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{410}-\x{44F}]+[.,;:!?]?$"
+MARK = r"([.,;:!?])"
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on; but a line's end
+#: becomes the space between the words of a text for the bare model.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+OTHERS = [b for b in range(256) if b not in PRINTABLE]
+ALPHABET = "".join(" " if b == 10 else chr(b if b in PRINTABLE else 256 + OTHERS.index(b)) for b in range(256))
 
-class Index(dict):
-    """Numbers keys in the order they are first met."""
 
-    def __missing__(self, key):
-        self[key] = k = len(self)
-        return k
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of flat, one after another."""
+    stops = np.cumsum(sizes)
+    return flat[np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
 
 
 class PieceCache:
-    """Ids of pieces by the order in which they were met, within a bound: the least used half goes when it is full."""
+    """Ids of pieces, held as arrays within a bound in bytes: the least used half goes when it is full."""
 
-    def __init__(self, most: int = CACHE_PIECES):
-        self.most, self.known = most, Index()
-        self.starts, self.sizes, self.used = (np.empty(0, np.int64) for _ in range(3))
+    def __init__(self, most: int = CACHE_BYTES):
+        self.most, self.names = most, pa.array([], pa.large_string())
+        self.sizes, self.used = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
-    def numbers(self, texts: list[list]) -> tuple[list[np.ndarray], list]:
-        """The pieces' numbers, text by text, and the pieces that are new."""
-        if len(self.known) > self.most:
-            self._prune()
-        get, before = self.known.__getitem__, len(self.known)
-        orders = [np.fromiter(map(get, pieces), np.int64, len(pieces)) for pieces in texts]
-        return orders, list(itertools.islice(self.known, before, None)) if len(self.known) > before else []
-
-    def put(self, starts: np.ndarray, sizes: np.ndarray, flat: list[np.ndarray]):
-        """The ids of the new pieces, in their order; starts: within flat."""
-        self.starts, self.sizes = np.append(self.starts, starts + len(self.flat)), np.append(self.sizes, sizes)
-        self.used = np.append(self.used, np.zeros(len(starts), np.int64))
-        self.flat = np.concatenate([self.flat, *flat]).astype(np.uint32)
-
-    def gather(self, orders: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's begin (and the last ends)."""
-        order = np.concatenate([*orders, np.empty(0, np.int64)])
-        self.used += np.bincount(order, minlength=len(self.used))
-        sizes = self.sizes[order]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[order] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[np.cumsum([0, *map(len, orders)])]
-
-    def _prune(self):
-        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
-        names = list(self.known)
-        self.known = Index((names[k], i) for i, k in enumerate(keep.tolist()))
-        sizes = self.sizes[keep]
-        ends = np.cumsum(sizes)
-        self.flat = self.flat[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        self.starts, self.sizes, self.used = ends - sizes, sizes, self.used[keep] // 2
-        return keep
+    def gather(self, pieces: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces (large strings) one after another, and how many each piece has.
+
+        learn: takes an array of distinct pieces, gives all their ids and how many each has.
+        """
+        coded = pieces.dictionary_encode()
+        slots = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.names), -1).to_numpy().astype(np.int64)
+        flat, sizes, new = self.flat, self.sizes, np.flatnonzero(slots < 0)
+        if len(new):
+            unknown = coded.dictionary.take(pa.array(new))
+            own, own_sizes = learn(unknown)
+            slots[new] = len(sizes) + np.arange(len(new))
+            flat, sizes = np.concatenate([flat, own]), np.concatenate([sizes, own_sizes])
+        starts = np.cumsum(sizes) - sizes
+        order = slots[coded.indices.to_numpy()]
+        used = np.bincount(order, minlength=len(sizes))
+        used[: len(self.used)] += self.used
+        each = sizes[order]
+        ids = gathered(flat, starts[order], each)
+        if len(new):
+            self._keep(pa.concat_arrays([self.names, unknown]), flat, starts, sizes, used)
+        else:
+            self.used = used
+        return ids, each
+
+    def _keep(self, names: pa.Array, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, used: np.ndarray):
+        lengths = pc.binary_length(names).to_numpy()
+        stay = lengths <= LONGEST_KEPT
+        cost = lengths + 32 + 4 * sizes
+        if cost[stay].sum() > self.most:
+            rank = np.argsort(np.where(stay, -used, 1), kind="stable")
+            stay[rank[np.searchsorted(np.cumsum(cost[rank]), self.most // 2) :]] = False
+            used = used // 2
+        if stay.all():
+            self.names, self.flat, self.sizes, self.used = names, flat, sizes, used
+            return
+        at = np.flatnonzero(stay)
+        self.names, self.flat, self.sizes, self.used = names.take(pa.array(at)), gathered(flat, starts[at], sizes[at]), sizes[at], used[at]
+
+
+def joined_ids(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.concatenate([np.empty(0, np.uint32), *(np.array(r, np.uint32) for r in rows)]), sizes
+
+
+def spliced(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n runs of ids in order, from parts (places, ids, sizes), each with the runs of some places."""
+    sizes, starts, base = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    for places, ids, own in parts:
+        sizes[places], starts[places] = own, base + np.cumsum(own) - own
+        base += len(ids)
+    return gathered(np.concatenate([np.empty(0, np.uint32), *(ids for _, ids, _ in parts)]), starts, sizes), sizes
+
+
+def together(pieces: pa.Array, between: str) -> pa.Array:
+    """Texts of TOGETHER pieces each."""
+    offsets = np.append(np.arange(0, len(pieces), TOGETHER), len(pieces))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces), pa.scalar(between, pieces.type))
 
 
 class Ids:
@@ -79,86 +119,117 @@ class Ids:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        self.drops_white = (made.get("pre_tokenizer") or {}).get("type") == "Sequence"
-        self.edge = np.zeros(self.library.get_vocab_size() + 1, bool)
-        for token, k in self.library.get_vocab().items():
+        # the same model, for texts that are words already: a line a word, in the byte-level alphabet
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = CharDelimiterSplit(" ")
+        self.drops_white = json.loads(self.library.pre_tokenizer.__getstate__())["type"] == "Sequence"
+        size = self.library.get_vocab_size()
+        self.edge = np.zeros(size + 1, bool)
+        for k in range(size):
+            token = self.library.id_to_token(k) or ""
             self.edge[k] = token.endswith("</w>") if self.drops_white else token.startswith("\u0120")
         self.cache = PieceCache()
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _units(self, piece) -> int:
-        """How many tokens of the piece are at an edge, where that is certain; else 0.
-
-        A byte-level piece after a space has one token that starts with the space. In the vocabulary with word ends a
-        run of letters is one word, and a final mark another. A tuple is the first piece of a byte-level text.
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [joined_ids([e.ids for e in self.library.encode_batch_fast(texts[k : k + CALL], add_special_tokens=False)]) for k in range(0, len(texts), CALL)]
+        return np.concatenate([np.empty(0, np.uint32), *(p[0] for p in parts)]), np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)])
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that are many and short, each by itself: the library says which of them each id is of."""
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for k in range(0, len(texts), TOGETHER):
+            group = texts[k : k + TOGETHER]
+            made = self.library.encode(group, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(made.ids, np.uint32))
+            sizes.append(np.bincount(np.array(made.word_ids, np.int64), minlength=len(group)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, many as one text where their ends can be told.
+
+        A byte-level piece has one token that starts with its space. In the vocabulary with word ends a run of letters
+        is one word, and a final mark another.
         """
-        if isinstance(piece, tuple):
-            return 0
-        if not self.drops_white:
-            return 1
-        if piece.isalpha():
-            return int(piece.lower().isalpha())
-        return 2 * (piece[-1] in ".,;:!?" and piece[:-1].isalpha() and piece[:-1].lower().isalpha())
-
-    def _learn(self, pieces: list):
-        """Encode new pieces, many as one text where their ends can be told."""
         lead = "" if self.drops_white else " "
-        units = np.array([self._units(p) for p in pieces])
-        starts, sizes, parts, at = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
-        sure, done = np.flatnonzero(units), np.zeros(len(pieces), bool)
-        groups = [sure[k : k + TOGETHER] for k in range(0, len(sure), TOGETHER)]
-        for group, ids in zip(groups, self._encode([lead + " ".join([pieces[k] for k in g]) for g in groups])):
-            ids = np.array(ids, np.uint32)
-            edges = np.flatnonzero(self.edge[ids])
-            if len(edges) != units[group].sum():
-                continue
-            stops = edges[np.cumsum(units[group]) - 1] + 1 if self.drops_white else np.append(edges[1:], len(ids))
-            sizes[group] = np.diff(stops, prepend=0)
-            starts[group] = at + stops - sizes[group]
-            parts.append(ids)
-            at += len(ids)
-            done[group] = True
-        rest = np.flatnonzero(~done).tolist()
-        for k, ids in zip(rest, self._encode([pieces[k][0] if isinstance(pieces[k], tuple) else lead + pieces[k] for k in rest])):
-            starts[k], sizes[k] = at, len(ids)
-            parts.append(np.array(ids, np.uint32))
-            at += len(ids)
-        self.cache.put(starts, sizes, parts)
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has."""
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        sure, rest = np.flatnonzero(plain.to_numpy(zero_copy_only=False)), []
+        words = pieces.filter(plain)
+        marked = pc.count_substring_regex(words, MARK).to_numpy() if self.drops_white else 0
+        lines = pc.replace_substring_regex(together(words, "\n" + lead), MARK, "\n\\1").to_pylist()
+        lines = [codecs.charmap_decode((lead + (x.lower() if self.drops_white else x)).encode(), "strict", ALPHABET)[0] for x in lines]
+        parts = self._split(self.bare, lines, sure, np.ones(len(sure), np.int64) + marked, rest)
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if self.drops_white:
+            rest.append(odd)
+        else:
+            texts = [lead + x for x in together(pieces.take(pa.array(odd)), " ").to_pylist()]
+            parts += self._split(self.library, texts, odd, np.ones(len(odd), np.int64), rest)
+        rest = np.sort(np.concatenate([np.empty(0, np.int64), *rest]))
+        if len(rest):
+            parts.append((rest, *self._each([lead + x for x in pieces.take(pa.array(rest)).to_pylist()])))
+        return spliced(parts, len(pieces))
+
+    def _split(self, encoder, texts: list[str], places: np.ndarray, units: np.ndarray, rest: list) -> list:
+        """Parts (places, ids, sizes) of texts of pieces with so many edges each; to rest goes what does not add up."""
+        parts = []
+        for k in range(0, len(texts), CALL):
+            for j, made in enumerate(encoder.encode_batch_fast(texts[k : k + CALL], add_special_tokens=False), k):
+                group, own = (x[j * TOGETHER : (j + 1) * TOGETHER] for x in (places, units))
+                ids = np.array(made.ids, np.uint32)
+                edges = np.flatnonzero(self.edge[ids])
+                if len(edges) != own.sum():
+                    rest.append(group)
+                    continue
+                stops = edges[np.cumsum(own) - 1] + 1 if self.drops_white else np.append(edges[1:], len(ids))
+                parts.append((group, ids, np.diff(stops, prepend=0)))
+        return parts
+
+    def __call__(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has. A null is an empty text."""
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        n = len(texts)
+        if not n:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if self.drops_white:
-            pieces, whole = [SPACED.findall(t) for t in texts], []
+            split = pc.split_pattern_regex(texts, SPACES)
+            flat = split.flatten()
+            apart = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end of a text
+            return self._of_pieces(split, flat, apart, None)
+        loose = pc.match_substring_regex(texts, LOOSE).to_numpy(zero_copy_only=False)
+        parts = []
+        if loose.any():
+            parts.append((np.flatnonzero(loose), *self._encode(texts.filter(pa.array(loose)).to_pylist())))
+        split = pc.split_pattern(texts.filter(pa.array(~loose)), " ")
+        flat = split.flatten()
+        apart = np.zeros(len(flat), bool)
+        offsets = split.offsets.to_numpy()
+        apart[offsets[:-1] - offsets[0]] = True  # a text's first piece has no space before it
+        firsts = self._each(flat.filter(pa.array(apart)).to_pylist())
+        return spliced([*parts, (np.flatnonzero(~loose), *self._of_pieces(split, flat, apart, firsts))], n)
+
+    def _of_pieces(self, split: pa.ListArray, flat: pa.Array, apart: np.ndarray, others: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts by their pieces; those apart have the other ids given, or none."""
+        ids, sizes = self.cache.gather(flat.filter(pa.array(~apart)), self._learn)
+        if others:
+            ids, each = spliced([(np.flatnonzero(~apart), ids, sizes), (np.flatnonzero(apart), *others)], len(flat))
         else:
-            whole = [k for k, t in enumerate(texts) if LOOSE.search(t)]
-            direct = dict(zip(whole, self._encode([texts[k] for k in whole]))) if whole else {}
-            pieces = [t.split(" ") if k not in direct else [""] for k, t in enumerate(texts)]
-            for own in pieces:
-                own[0] = (own[0],)
-        orders, new = self.cache.numbers(pieces)
-        if new:
-            self._learn(new)
-        ids, by = self.cache.gather(orders)
-        lengths = np.diff(by)
-        if whole:
-            parts = [np.array(direct[k], np.uint32) if k in direct else ids[by[k] : by[k + 1]] for k in range(len(texts))]
-            ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
-        return ids, lengths
+            each = np.zeros(len(flat), np.int64)
+            each[~apart] = sizes
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(each)])[offsets - offsets[0]])
 
 
 _made: dict[str, Ids] = {}
 
 
 def encoder(path: str) -> Ids:
-    """This worker's encoder, for its cache."""
+    """This worker's encoder, kept from task to task for its cache; one vocabulary at a time."""
     if path not in _made:
+        _made.clear()
         _made[path] = Ids(path)
     return _made[path]
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import released, small_batches, texts_of
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 16, 8
@@ -191,7 +191,7 @@ def sample_windows(documents: DataFrame, labelled: DataFrame, label: str, per_la
                 out.append([" ".join(words[starts[j] : ends[j]]) for j in sorted(order.tolist())])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["mark"], pa.array(out, pa.list_(pa.string()))], ["doc_id", "mark", "cut"])
 
-    found = rows.mapInArrow(cut, "doc_id long, mark int, cut array<string>").collect()
+    found = rows.mapInArrow(released(cut), "doc_id long, mark int, cut array<string>").collect()
     found.sort(key=lambda r: (r.doc_id, r.cut))
     return [([w.split(" ") for w in r.cut], int(r.mark > 0)) for r in found]
 
@@ -213,5 +213,5 @@ def score(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", thre
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array([scorer.score(t) for t in texts_of(b["text"])], pa.float64())], ["doc_id", "held_out", "score"])
 
-    scored = documents.select("doc_id", "text", out_of.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = documents.select("doc_id", "text", out_of.alias("held_out")).mapInArrow(released(run), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
