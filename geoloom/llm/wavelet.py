@@ -1,9 +1,10 @@
 """Token-ID output: a wavelet matrix per shard, one compressed file (a row of binary) with everything in it.
 
 A shard's ids are stored bit by bit from the highest: each plane holds one bit of every id in the order that sorting
-by the planes above has left, and the number of its zeros. With the counts of ones before each block of a plane
-(rebuilt on reading), an id is read, an id's occurrences are counted and the k-th is found from the planes alone, in
-as many steps as an id has bits. A whole range is read by undoing the planes from the lowest up.
+by the planes above has left, packed into 64-bit words, and with it the number of ones before each block of 512. So
+rank is a count of a block's ones and select a search among counts, both on the packed words: an id is read, an id's
+occurrences are counted and the k-th is found in as many steps as an id has bits. `find` does so over all shards. A
+whole range is read by undoing the planes from the lowest up.
 
 Edge cases: null text is empty; an empty document is its end id alone; a shard holds whole documents, one at least,
 so a very long document has a shard to itself; rows with equal doc_id are ordered by text; a null doc_id comes first;
@@ -22,105 +23,128 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts_of
+from .common import released, small_batches, stored
 from .tokens import encoder, with_end
 
-MAGIC = b"WVM1"
-BLOCK = 512
+MAGIC = b"WVM2"
+#: Bits and words of a block, before which the ones are counted.
+BLOCK, WORDS = 512, 8
 SHARD_TOKENS = 1 << 18
 
 
 class WaveletMatrix:
-    """Ids below 2**bits."""
+    """Ids below 2**bits. planes: (words, counts) of each bit, the highest first; counts: ones before each block."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        """planes: of n bits each, packed, the highest first."""
-        self.n, self.packed = n, planes
-        self._plane: list = [None] * len(planes)
+    def __init__(self, n: int, planes: list[tuple[np.ndarray, np.ndarray]]):
+        self.n, self.planes = n, planes
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        now, planes = np.asarray(ids, np.uint32), []
+        now, planes = np.asarray(ids).astype(cls._type(bits)), []
+        size = (len(now) // BLOCK + 1) * BLOCK // 8
         for k in range(bits - 1, -1, -1):
-            one = (now >> np.uint32(k)) & np.uint32(1) != 0
-            planes.append(np.packbits(one))
-            now = np.concatenate([now[~one], now[one]])
-        return cls(len(ids), planes)
-
-    def _bits(self, k: int):
-        """A plane's bits, ones before each block, and zeros."""
-        if self._plane[k] is None:
-            bits = np.unpackbits(self.packed[k], count=self.n).astype(bool)
-            sums = np.add.reduceat(bits, np.arange(0, self.n, BLOCK), dtype=np.int64) if self.n else np.empty(0, np.int64)
-            before = np.concatenate([[0], np.cumsum(sums)])
-            self._plane[k] = bits, before, self.n - int(before[-1])
-        return self._plane[k]
-
-    def _ones(self, k: int, at: int) -> int:
-        bits, before, _ = self._bits(k)
-        block = at // BLOCK
-        return int(before[block]) + int(np.count_nonzero(bits[block * BLOCK : at]))
-
-    def access(self, at: int) -> int:
-        out = 0
-        for k in range(len(self.packed)):
-            bit, ones = bool(self._bits(k)[0][at]), self._ones(k, at)
-            at = self._bits(k)[2] + ones if bit else at - ones
-            out = out * 2 + bit
+            one = now & now.dtype.type(1 << k) != 0
+            packed = np.zeros(size, np.uint8)
+            packed[: (len(now) + 7) // 8] = np.packbits(one, bitorder="little")
+            words = packed.view("<u8")
+            sums = np.bitwise_count(words).reshape(-1, WORDS).sum(1, dtype=np.uint32)
+            planes.append((words, np.concatenate([[0], np.cumsum(sums, dtype=np.uint32)]).astype("<u4")))
+            now = np.concatenate([now[np.flatnonzero(~one)], now[np.flatnonzero(one)]])
+        return cls(len(now), planes)
+
+    @staticmethod
+    def _type(bits: int):
+        return np.uint16 if bits <= 16 else np.uint32
+
+    def _zeros(self, k: int) -> int:
+        return self.n - int(self.planes[k][1][-1])
+
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Ones of a plane before each place."""
+        words, counts = self.planes[k]
+        block, word = at // BLOCK, at // 64
+        out = counts[block].astype(np.int64)
+        for j in range(WORDS):
+            whole = block * WORDS + j
+            out += np.where(whole < word, np.bitwise_count(words[whole]), 0)
+        return out + np.bitwise_count(words[word] & ((np.uint64(1) << (at % 64).astype(np.uint64)) - np.uint64(1)))
+
+    def access(self, at):
+        """The id at a place, or the ids at some."""
+        if np.ndim(at) == 0:
+            return int(self.access(np.array([at]))[0])
+        at = np.asarray(at, np.int64)
+        if len(at) and (at.min() < 0 or at.max() >= self.n):
+            raise IndexError("no such place")
+        out = np.zeros(len(at), np.uint32)
+        for k, (words, _) in enumerate(self.planes):
+            bit = (words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+            ones = self._ones(k, at)
+            at = np.where(bit, self._zeros(k) + ones, at - ones)
+            out = out * 2 + bit.astype(np.uint32)
         return out
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        for k in range(len(self.packed)):
-            a, b = self._ones(k, lo), self._ones(k, hi)
-            zeros = self._bits(k)[2]
-            lo, hi = (zeros + a, zeros + b) if token >> (len(self.packed) - 1 - k) & 1 else (lo - a, hi - b)
-        return lo, hi
+        """Where, below the lowest plane, the token's occurrences among lo..hi stand."""
+        if token >> len(self.planes):
+            return 0, 0
+        ends = np.array([lo, hi], np.int64)
+        for k in range(len(self.planes)):
+            ones = self._ones(k, ends)
+            ends = self._zeros(k) + ones if token >> (len(self.planes) - 1 - k) & 1 else ends - ones
+        return int(ends[0]), int(ends[1])
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        """Occurrences among positions lo..hi."""
-        if token >> len(self.packed):
-            return 0
+        """Occurrences among places lo..hi."""
         a, b = self._range(token, lo, self.n if hi is None else hi)
         return b - a
 
-    def select(self, token: int, rank: int) -> int:
-        """The position of the occurrence with that rank, from 0."""
-        lo, hi = self._range(token, 0, self.n) if not token >> len(self.packed) else (0, 0)
-        if not 0 <= rank < hi - lo:
-            raise IndexError(rank)
-        at = lo + rank
-        for k in range(len(self.packed) - 1, -1, -1):
-            bits, before, zeros = self._bits(k)
-            want = token >> (len(self.packed) - 1 - k) & 1
-            rank = at - zeros if want else at
-            starts = before if want else np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
-            block = int(np.searchsorted(starts, rank, side="right")) - 1
-            part = bits[block * BLOCK : (block + 1) * BLOCK] == bool(want)
-            at = block * BLOCK + int(np.flatnonzero(part)[rank - int(starts[block])])
+    def select(self, token: int, ranks):
+        """The place of the occurrence with a rank, from 0, or the places of some."""
+        if np.ndim(ranks) == 0:
+            return int(self.select(token, np.array([ranks]))[0])
+        ranks = np.asarray(ranks, np.int64)
+        lo, hi = self._range(token, 0, self.n)
+        if len(ranks) and not (0 <= ranks.min() and ranks.max() < hi - lo):
+            raise IndexError("no such occurrence")
+        parts = [self._up(token, lo + ranks[k : k + 4096]) for k in range(0, len(ranks), 4096)]
+        return np.concatenate([np.empty(0, np.int64), *parts])
+
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        for k in range(len(self.planes) - 1, -1, -1):
+            words, counts = self.planes[k]
+            want = token >> (len(self.planes) - 1 - k) & 1
+            if want:
+                rank, starts, blocks = at - self._zeros(k), counts.astype(np.int64), words
+            else:  # zeros; those past the last id come after all others and are never reached
+                rank, starts, blocks = at, np.arange(len(counts)) * BLOCK - counts.astype(np.int64), ~words
+            block = np.searchsorted(starts, rank, side="right") - 1
+            bits = np.unpackbits(blocks.reshape(-1, WORDS)[block].view(np.uint8), axis=1, bitorder="little")
+            at = block * BLOCK + (np.cumsum(bits, axis=1, dtype=np.int32) > (rank - starts[block])[:, None]).argmax(1)
         return at
 
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
-        now = np.zeros(self.n, np.uint32)
-        for k in range(len(self.packed) - 1, -1, -1):
-            one = np.unpackbits(self.packed[k], count=self.n).astype(bool)
-            zeros = self.n - int(np.count_nonzero(one))
-            up = np.empty_like(now)
-            up[~one] = now[:zeros]
-            up[one] = now[zeros:] | np.uint32(1 << (len(self.packed) - 1 - k))
+        now = np.zeros(self.n, self._type(len(self.planes)))
+        for k in range(len(self.planes) - 1, -1, -1):
+            one = np.unpackbits(self.planes[k][0].view(np.uint8), count=self.n, bitorder="little").view(bool)
+            up, zeros = np.empty_like(now), self._zeros(k)
+            up[np.flatnonzero(~one)] = now[:zeros]
+            up[np.flatnonzero(one)] = now[zeros:] | now.dtype.type(1 << (len(self.planes) - 1 - k))
             now = up
         return now
 
 
 def dump(ids: np.ndarray, sizes: np.ndarray, docs: list) -> bytes:
-    """A shard's file: header, documents' ids and sizes, planes, each part compressed with its length before it."""
+    """A shard's file: header; documents' ids and sizes, planes and their counts, each compressed with its length before it."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     matrix = WaveletMatrix.build(ids, bits)
     none = np.array([d is None for d in docs], bool)
     names = np.array([0 if d is None else d for d in docs], "<i8")
     press = zstandard.ZstdCompressor(level=1)
-    parts = [press.compress(x) for x in (np.packbits(none).tobytes(), names.tobytes(), sizes.astype("<i8").tobytes(), *(p.tobytes() for p in matrix.packed))]
-    return MAGIC + struct.pack("<QQB", len(ids), len(docs), bits) + b"".join(struct.pack("<Q", len(p)) + p for p in parts)
+    parts = [np.packbits(none), names, sizes.astype("<i8"), *(x for plane in matrix.planes for x in plane)]
+    packed = [press.compress(x.tobytes()) for x in parts]
+    return MAGIC + struct.pack("<QQB", len(ids), len(docs), bits) + b"".join(struct.pack("<Q", len(p)) + p for p in packed)
 
 
 def load(raw: bytes) -> tuple[WaveletMatrix, np.ndarray, list]:
@@ -129,13 +153,14 @@ def load(raw: bytes) -> tuple[WaveletMatrix, np.ndarray, list]:
         raise ValueError("not a shard")
     n, docs, bits = struct.unpack_from("<QQB", raw, 4)
     at, parts, press = 21, [], zstandard.ZstdDecompressor()
-    for _ in range(3 + bits):
+    for _ in range(3 + 2 * bits):
         (size,) = struct.unpack_from("<Q", raw, at)
         parts.append(press.decompress(raw[at + 8 : at + 8 + size]))
         at += 8 + size
     none = np.unpackbits(np.frombuffer(parts[0], np.uint8), count=docs).astype(bool)
     names = [None if x else int(d) for x, d in zip(none, np.frombuffer(parts[1], "<i8"))]
-    return WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[3:]]), np.frombuffer(parts[2], "<i8"), names
+    planes = [(np.frombuffer(w, "<u8"), np.frombuffer(c, "<u4")) for w, c in zip(parts[3::2], parts[4::2])]
+    return WaveletMatrix(n, planes), np.frombuffer(parts[2], "<i8"), names
 
 
 def write(documents: DataFrame, path: str, *, end: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -155,7 +180,7 @@ def write(documents: DataFrame, path: str, *, end: int = 2, shard_tokens: int =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([many], pa.int64()), pa.array([raw], pa.binary())], ["part", "seq", "n_tokens", "shard"])
 
         for b in batches:
-            flat, lengths = with_end(*make(texts_of(b["text"])), end)
+            flat, lengths = with_end(*make(b["text"]), end)
             ends = np.cumsum(lengths)
             for doc, size, stop in zip(b["doc_id"].to_pylist(), lengths.tolist(), ends.tolist()):
                 if docs and many + size > shard_tokens:
@@ -169,7 +194,7 @@ def write(documents: DataFrame, path: str, *, end: int = 2, shard_tokens: int =
             yield shard()
 
     rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(run, "part int, seq int, n_tokens long, shard binary"), "shards")
+    return stored(rows.mapInArrow(released(run), "part int, seq int, n_tokens long, shard binary"), "shards")
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -193,4 +218,22 @@ def read(shards: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(ids[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends - sizes + start), pa.array(sizes), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("shard", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("shard", "start").mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def find(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(doc_id, token, at): every occurrence of some ids, by counting and selecting in the stored shards; at: its place
+    in the document. No shard is decoded."""
+    small_batches(shards.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for raw in b["shard"]:
+                matrix, sizes, docs = load(raw.as_py())
+                ends = np.cumsum(sizes)
+                for token in tokens:
+                    places = matrix.select(token, np.arange(matrix.count(token)))
+                    doc = np.searchsorted(ends, places, side="right")
+                    yield pa.RecordBatch.from_arrays([pa.array([docs[k] for k in doc.tolist()], pa.int64()), pa.array(np.full(len(places), token)), pa.array(places - (ends - sizes)[doc])], ["doc_id", "token", "at"])
+
+    return shards.select("shard").mapInArrow(released(run), "doc_id long, token long, at long")
