@@ -7,13 +7,13 @@ the similarity if their prefixes (n - ceil(t n) + 1 n-grams) share an n-gram, so
    2**sketch_bits counters (its size is fixed, so it may be broadcast); the counters set the order. Any order is
    right; the counters only make it rare-first.
 2. Prefix n-grams are dealt out by n-gram and sorted. In a run of one n-gram, every set is proposed with the run's
-   first set (the one with the most shared n-grams, so usually the source of the copies) and with the one before
-   it: two pairs a row, however long the run. Equal sets are one vertex from the start.
+   first set (the one whose n-grams are the most frequent, so usually the source of the copies) and with the one
+   before it: two pairs a row, however long the run. Equal sets are one vertex from the start.
 3. Pairs that pass the length and positional filters are verified once each: the suffix filter, then the sizes of
    the intersections of the whole sets. Components of the links are found.
 4. Runs whose sets are still in more than one component are joined in full between different components, under the
-   same filters and the suffix filter's bound from how many n-grams either set has in each of 64 parts of all
-   n-grams; the pairs not yet verified are. Pairs within a component could change nothing, so no link between components is
+   same filters and the suffix filter's bound from the parities of how many n-grams either set has in each of PARTS
+   parts of all n-grams; the pairs not yet verified are. Pairs within a component could change nothing, so no link between components is
    lost and copies are never expanded into all pairs.
 
 Sets are known by a 64-bit name of all their n-grams, n-grams by 64-bit names.
@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, mix, shingle_sets, small_batches, stored, texts_of
+from .common import discard, joined, mix, released, shingle_sets, small_batches, stored, texts_of
 from .components import components
 
 BLOCK_BITS = 16
-#: Parts that the n-grams are divided into by their names, for the suffix filter before pairs are made.
-PARTS = 64
-SURVEY = ["doc_id", "n", "name", "parts", "block", "counts"]
+#: Parts that the n-grams are divided into by their names, for the suffix filter before pairs are made: in at least as
+#: many parts as have different parities, the sets differ by an n-gram.
+PARTS = 256
+PARITIES = ["p0", "p1", "p2", "p3"]
+SURVEY = ["doc_id", "n", "name", *PARITIES, "block", "counts"]
 PERCENT = 75
 _SPAN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,8 +60,14 @@ def set_name(items: np.ndarray) -> int:
     return int(mix(np.array([both.sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Four 64-bit words, a bit for each part of the n-grams."""
+    odd = np.bincount((items & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _survey(bits: int):
-    """Rows (doc_id, n, name) of all documents; then the task's counters, a compressed block a row."""
+    """Rows (doc_id, n, name, parities) of all documents; then the task's counters, a compressed block a row."""
 
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
@@ -69,7 +77,7 @@ def _survey(bits: int):
             for items in shingle_sets(texts_of(b["text"])):
                 sizes.append(len(items))
                 names.append(set_name(items))
-                parts.append(np.minimum(np.bincount((items & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
+                parts.append(parities(items))
                 held.append(items)
                 many += len(items)
                 if many > 1 << 20:
@@ -78,11 +86,12 @@ def _survey(bits: int):
             if held:
                 counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
             n = len(b)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(parts, pa.list_(pa.int16())), empty(n, pa.int32()), empty(n, pa.binary())], SURVEY)
+            words = np.stack(parts, 1) if parts else np.empty((4, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *map(pa.array, words), empty(n, pa.int32()), empty(n, pa.binary())], SURVEY)
         width = 1 << min(bits, BLOCK_BITS)
         blocks = counts.reshape(-1, width)
         for k in np.flatnonzero(blocks.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([empty(1, pa.int64()), empty(1, pa.int64()), empty(1, pa.int64()), empty(1, pa.list_(pa.int16())), pa.array([k], pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1)])], SURVEY)
+            yield pa.RecordBatch.from_arrays([*(empty(1, pa.int64()) for _ in range(7)), pa.array([k], pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1)])], SURVEY)
 
     return run
 
@@ -110,7 +119,11 @@ def _leveled(block: int, counts: np.ndarray) -> pa.RecordBatch:
 
 
 def _prefixes(levels, percent: int, bits: int):
-    """Rows (token, name, n, at, centre) of each set's prefix; a task gives each set of a batch once."""
+    """Rows (token, name, n, at, centre) of each set's prefix; a task gives each set of a batch once.
+
+    centre: the set's mean level, negated. The source of many near copies has none of their own n-grams, so it has the
+    highest level of them all, also where other n-grams share its counters.
+    """
 
     def run(batches):
         table = levels.value
@@ -128,7 +141,7 @@ def _prefixes(levels, percent: int, bits: int):
                 out[1].append(np.full(size, name))
                 out[2].append(np.full(size, n, np.int32))
                 out[3].append(np.arange(size, dtype=np.int32))
-                out[4].append(np.full(size, -min(1e6, 1000 * float((level > 8).mean())), np.int32))
+                out[4].append(np.full(size, -round(1000 * float(level.mean())), np.int32))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "name", "n", "at", "centre"])
 
@@ -227,7 +240,8 @@ def _verify(documents: DataFrame, pairs: DataFrame, owners: DataFrame, percent:
             own = pa.array([set_name(s) == n for s, n in zip(found, b["name"].to_pylist())], pa.bool_())  # a repeated doc_id may bring another text
             yield pa.RecordBatch.from_arrays([b["name"], pa.array([s.tobytes() for s in found], pa.binary())], ["name", "items"]).filter(own)
 
-    found = stored(rows.mapInArrow(sets, "name long, items binary").dropDuplicates(["name"]), "sets")
+    # not stored: one shuffle by name serves both joins
+    found = rows.mapInArrow(released(sets), "name long, items binary").dropDuplicates(["name"])
 
     def check(batches):
         for b in batches:
@@ -236,7 +250,9 @@ def _verify(documents: DataFrame, pairs: DataFrame, owners: DataFrame, percent:
             yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], ["a", "b"])
 
     both = pairs.join(found.selectExpr("name a", "items x"), "a").join(found.selectExpr("name b", "items y"), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    out = stored(both.select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long"), "links")
+    discard(wanted)
+    return out
 
 
 def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22) -> tuple[DataFrame, DataFrame]:
@@ -244,19 +260,19 @@ def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select("doc_id", "text")
-    survey = stored(docs.mapInArrow(_survey(sketch_bits), "doc_id long, n long, name long, parts array<short>, block int, counts binary"), "survey")
+    survey = stored(docs.mapInArrow(released(_survey(sketch_bits)), "doc_id long, n long, name long, p0 long, p1 long, p2 long, p3 long, block int, counts binary"), "survey")
     blocks = survey.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, levels binary").collect()
     levels = np.zeros((max(1, (1 << sketch_bits) >> BLOCK_BITS), 1 << min(sketch_bits, BLOCK_BITS)), np.uint8)
     for r in blocks:
         levels[r.block] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
     sent = spark.sparkContext.broadcast(levels.ravel())  # 2**sketch_bits bytes, whatever the corpus
-    survey = survey.where("block is null").select("doc_id", "n", "name", "parts")
-    owned = survey.where("n > 0 and doc_id is not null").groupBy("name")
-    owners = owned.agg(F.min("doc_id").alias("doc_id"))
-    divided = owned.agg(F.min("parts").alias("parts"))
-    survey = survey.drop("parts")
+    survey = survey.where("block is null").select("doc_id", "n", "name", *PARITIES)
+    names = survey.where("n > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), *(F.min(p).alias(p) for p in PARITIES))
+    names = stored(names, "sets")
+    owners = names.select("name", "doc_id")
+    survey = survey.drop(*PARITIES)
 
-    index = docs.mapInArrow(_prefixes(sent, percent, sketch_bits), "token long, name long, n int, at int, centre int")
+    index = docs.mapInArrow(released(_prefixes(sent, percent, sketch_bits)), "token long, name long, n int, at int, centre int")
     dealt = index.repartition("token").sortWithinPartitions("token", "centre", "name")
     runs = stored(dealt.mapInArrow(_propose(percent), "token long, name long, n long, at long, first long, before long"), "runs")
     pairs = runs.selectExpr("least(name, first) a", "greatest(name, first) b").union(runs.selectExpr("least(name, before) a", "greatest(name, before) b")).where("a is not null and a != b")
@@ -269,13 +285,16 @@ def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22
     placed = stored(placed, "placed")
     open_runs = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rest = placed.join(open_runs, "token", "left_semi").where("(n - at) * {0} >= n * {1}".format(100, percent))
-    rest = stored(rest.join(divided, "name"), "open")
+    rest = stored(rest.join(names.drop("doc_id"), "name"), "open")
     x, y = rest.alias("x"), rest.alias("y")
-    fits = F.expr(f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n) and {100 + percent} * aggregate(zip_with(x.parts, y.parts, (p, q) -> abs(p - q)), 0, (s, d) -> s + d) <= {100 - percent} * (x.n + y.n)")
+    differ = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITIES)
+    fits = F.expr(f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n) and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)")
     more = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).selectExpr("least(x.name, y.name) a", "greatest(x.name, y.name) b").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more")
     late = _verify(docs, more, owners, percent)
-    return survey, stored(components(good.union(late)), "components")
+    graph = stored(components(good.union(late)), "components")
+    discard(names, runs, pairs, good, known, placed, rest, more, late)
+    return survey, graph
 
 
 def classes(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22) -> DataFrame:
@@ -283,8 +302,9 @@ def classes(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int =
     survey, graph = links(documents, percent=percent, sketch_bits=sketch_bits)
     vertex = survey.join(graph.withColumnRenamed("node", "name"), "name", "left").withColumn("vertex", F.when(F.col("n") > 0, F.coalesce("component", "name")))
     vertex = stored(vertex, "vertices")
-    least = vertex.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("component_id"))
-    out = vertex.join(least, "vertex", "left")
+    least = vertex.where("vertex is not null").groupBy("vertex").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    least = stored(least.where("rows > 1"), "least")  # apart from the join, which may then split a large component
+    out = joined(vertex, least.drop("rows"), "vertex", 24, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
