@@ -38,7 +38,13 @@ def is_int(s: Column) -> Column:
 
 
 def round_to_scale(value: Column, scale: list[float], direction: str = "nearest") -> Column:
-    """Snap to an ascending scale: down, up or nearest (of two equally near, the lower); its ends hold beyond it."""
+    """Snap to an ascending scale: down, up or nearest (of two equally near, the lower); its ends hold beyond it.
+
+    Without a scale, to a whole number: cut off, up, or nearest (half to even).
+    """
+    if not scale:
+        whole = {"down": F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)), "up": F.ceil(value), "nearest": F.bround(value)}
+        return whole[direction].cast("double")
     steps = F.array(*(F.lit(float(s)) for s in sorted(scale)))
     low = F.coalesce(F.array_max(F.filter(steps, lambda s: s <= value)), F.array_min(steps))
     high = F.coalesce(F.array_min(F.filter(steps, lambda s: s >= value)), F.array_max(steps))
@@ -49,6 +55,11 @@ def round_to_scale(value: Column, scale: list[float], direction: str = "nearest"
     return F.when(value - low <= high - value, low).otherwise(high)
 
 
+def round_list_to(values: Column, scale: list[float], direction: str = "nearest") -> Column:
+    """An array with every element snapped."""
+    return F.transform(values, lambda v: round_to_scale(v, scale, direction))
+
+
 def gaussian(distance: Column, sigma: float = 4.0) -> Column:
     return F.exp(-distance * distance / (2 * sigma * sigma))
 
@@ -132,3 +143,86 @@ def month_name(month: Column) -> Column:
 def strip_label(s: Column) -> Column:
     """The text before the first bar, without blanks at its end."""
     return F.rtrim(F.substring_index(s, "|", 1))
+
+
+def last_day(year: Column, month: Column) -> Column:
+    """The number of days of a month."""
+    return F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+
+
+def date_sequence(first: Column, last: Column, step: str = "1 day") -> Column:
+    """All dates from first to last by a step of days or months, as an array; empty if last is before first."""
+    return F.when(last >= first, F.sequence(first, last, F.expr(f"interval {step}"))).otherwise(F.array().cast("array<date>"))
+
+
+def zero_padded(number: Column, width: int = 4) -> Column:
+    """A whole number with zeros before it; longer ones stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
+def label_with_abbreviation(short: Column, label: Column) -> Column:
+    return F.concat_ws(" : ", short, label)
+
+
+# The names that terrain features have in files, and the abbreviations of their names.
+FEATURE_NAMES = {
+    "Hillshading": "Hillshading",
+    "Aspect": "Aspect",
+    "Channel Network Base Level": "Channel Network Base Level",
+    "Channel Network Distance": "Channel Network Distance",
+    "Closed Depressions": "Closed Depressions",
+    "Convergence Index": "Convergence Index",
+    "Elevation": "Elevation",
+    "LS Factor": "LS Factor",
+    "Plan Curvature": "Plan Curvature",
+    "Profile Curvature": "Profile Curvature",
+    "Relative Slope Position": "Relative Slope Position",
+    "Slope": "Slope",
+    "TWI": "TWI",
+    "Total Catchment Area": "Total Catchment Area",
+    "Valley Depth": "Valley Depth",
+    "CONUS_DEM1km": "Elevation",
+    "Analytical_Hillshading": "Hillshading",
+    "Channel_Network_Base_Level": "Channel Network Base Level",
+    "Closed_Depressions": "Closed Depressions",
+    "Convergence_Index": "Convergence Index",
+    "Cross-Sectional_Curvature": "Plan Curvature",
+    "Flow_Accumulation": "Total Catchment Area",
+    "Longitudinal_Curvature": "Profile Curvature",
+    "LS_Factor": "LS Factor",
+    "Relative_Slope_Position": "Relative Slope Position",
+    "Topographic_Wetness_Index": "TWI",
+    "Valley_Depth": "Valley Depth",
+    "Vertical_Distance_to_Channel_Network": "Channel Network Distance",
+}
+FEATURE_SHORT = {
+    "Hillshading": "Hill",
+    "Aspect": "Asp",
+    "Channel Network Base Level": "CNBL",
+    "Channel Network Distance": "CND",
+    "Closed Depressions": "CD",
+    "Convergence Index": "CI",
+    "Elevation": "Ele",
+    "LS Factor": "LSF",
+    "Plan Curvature": "PlCu",
+    "Profile Curvature": "PrCu",
+    "Relative Slope Position": "RSP",
+    "Slope": "Slo",
+    "TWI": "TWI",
+    "Total Catchment Area": "TCA",
+    "Valley Depth": "VD",
+}
+
+
+def _looked_up(names: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), key)
+
+
+def feature_name(raw: Column) -> Column:
+    """The name of a feature; null of one that is not known."""
+    return _looked_up(FEATURE_NAMES, raw)
+
+
+def feature_short(raw: Column) -> Column:
+    return _looked_up(FEATURE_SHORT, feature_name(raw))

@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 DEEPEST = 30
 
 
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
+def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(df)
 
 
 def predict(evaluation: DataFrame, train: DataFrame, features: list[str], target: str = "z", trees: int = 50, depth: int = 20, seed: int = 0) -> DataFrame:
     """evaluation with column sm; depths beyond DEEPEST are cut to it."""
     forest = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol="sm", numTrees=trees, maxDepth=min(depth, DEEPEST), featureSubsetStrategy="sqrt", seed=seed)
-    return forest.fit(_assembled(train, features)).transform(_assembled(evaluation, features)).drop("_features")
+    return forest.fit(assembled(train, features)).transform(assembled(evaluation, features)).drop("_features")
 
 
 def linear_scores(df: DataFrame, features: list[str], target: str = "z") -> DataFrame:
     """(feature, score): absolute coefficients of an unregularised regression."""
-    model = LinearRegression(featuresCol="_features", labelCol=target, regParam=0.0, solver="normal", standardization=False).fit(_assembled(df, features))
+    model = LinearRegression(featuresCol="_features", labelCol=target, regParam=0.0, solver="normal", standardization=False).fit(assembled(df, features))
     return df.sparkSession.createDataFrame([(f, float(abs(c))) for f, c in zip(features, model.coefficients)], "feature string, score double")
 
 
@@ -35,7 +35,7 @@ def univariate_scores(df: DataFrame, features: list[str], target: str = "z", gro
 
 
 def forest_scores(df: DataFrame, features: list[str], target: str = "z", trees: int = 100, seed: int = 0) -> DataFrame:
-    model = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees, seed=seed).fit(_assembled(df, features))
+    model = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees, seed=seed).fit(assembled(df, features))
     return df.sparkSession.createDataFrame([(f, float(c)) for f, c in zip(features, model.featureImportances.toArray())], "feature string, score double")
 
 

@@ -112,3 +112,42 @@ def crop_pixels(cells: DataFrame, row: int, col: int, nrow: int, ncol: int) -> D
 def extent(vertices: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
     """Upper left and lower right corner."""
     return vertices.agg(F.min(x).alias("ulx"), F.max(y).alias("uly"), F.max(x).alias("lrx"), F.min(y).alias("lry"))
+
+
+def crop_window(cells: DataFrame, grid: Grid, ulx: float, uly: float, lrx: float, lry: float) -> DataFrame:
+    """Cells whose centres lie in a window of projected coordinates; a range of rows and columns, which reaches the scan."""
+    from math import ceil, floor
+
+    rows = ceil((grid.ymax - uly) / grid.yres - 0.5), floor((grid.ymax - lry) / grid.yres - 0.5)
+    cols = ceil((ulx - grid.xmin) / grid.xres - 0.5), floor((lrx - grid.xmin) / grid.xres - 0.5)
+    return cells.where(F.col("row").between(*rows) & F.col("col").between(*cols))
+
+
+def mean_of(rasters: list[DataFrame], band: str, nodata: float | None = None) -> DataFrame:
+    """(row, col, band): the mean of several rasters where they have data; null where none has."""
+    value = F.col(band).cast("double")
+    known = F.when(~F.isnan(value) & (F.lit(True) if nodata is None else value != nodata), value)
+    rows = None
+    for r in rasters:
+        one = r.select("row", "col", known.alias(band))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("row", "col").agg(F.avg(band).alias(band))
+
+
+def combine(tiled: DataFrame, band: str, function: str = "avg") -> DataFrame:
+    """The value of overlapping tiles by a named aggregate: avg, min, max, median or sum."""
+    known = {"avg": F.avg, "min": F.min, "max": F.max, "median": F.median, "sum": F.sum}
+    if function not in known:
+        raise ValueError(f"unknown function {function}")
+    return tiled.groupBy("row", "col").agg(known[function](band).alias(band))
+
+
+def reproject(cells: DataFrame, source: Grid, target: Grid, to_source, bands: list[str]) -> DataFrame:
+    """A raster in another projection: each target cell takes the source cell at its centre.
+
+    to_source: a function of the target's columns (x, y) that gives the source's. Null outside the source.
+    """
+    centres = full_grid(cells.sparkSession, target.nrow, target.ncol).select(F.col("row").alias("_r"), F.col("col").alias("_c"), target.x(F.col("col")).alias("_tx"), target.y(F.col("row")).alias("_ty"))
+    x, y = to_source(F.col("_tx"), F.col("_ty"))
+    found = extract(centres.withColumns({"x": x, "y": y}), cells, source, bands)
+    return found.select(F.col("_r").alias("row"), F.col("_c").alias("col"), *bands)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MONTHS
@@ -106,3 +106,72 @@ def large_groups(df: DataFrame, group: list[str], least: int) -> DataFrame:
 
 def groups_in_both(train: DataFrame, evaluation: DataFrame, group: list[str]) -> DataFrame:
     return train.select(*group).intersect(evaluation.select(*group))
+
+
+def mask(df: DataFrame, keep) -> DataFrame:
+    """Rows for which a function of the table's columns, by name, is true."""
+    return df.where(keep({c: F.col(f"`{c}`") for c in df.columns}))
+
+
+def name_layers(df: DataFrame, names: list[str], first: int = 0) -> DataFrame:
+    """Columns from `first` on take the names, in order; the number must fit."""
+    if len(names) != len(df.columns) - first:
+        raise ValueError(f"{len(df.columns) - first} layers, {len(names)} names")
+    return df.toDF(*df.columns[:first], *names)
+
+
+def layer_names(df: DataFrame, first: int = 0) -> list[str]:
+    return df.columns[first:]
+
+
+def layer_count(df: DataFrame, first: int = 0) -> int:
+    return len(df.columns) - first
+
+
+def model_columns(df: DataFrame, target: int = 2, skip: tuple[int, ...] = (), variables: list[str] | None = None) -> tuple[str, list[str]]:
+    """(target, covariates): all columns but the target and those skipped by place, or only the named ones."""
+    names = [c for i, c in enumerate(df.columns) if i != target and i not in skip]
+    if variables:
+        missing = [v for v in variables if v not in names]
+        if missing:
+            raise ValueError(f"no columns {missing}")
+        names = [c for c in names if c in variables]
+    return df.columns[target], names
+
+
+def with_place(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Each row's place, from 0, in an order that its columns fix; no task holds more than its range.
+
+    The table is sorted by ranges, rows are counted a range, and each range starts where the others end.
+    """
+    from ..storage import stored
+
+    ranged = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}  # a row a range
+    starts, total = {}, 0
+    for part in sorted(counts):
+        starts[part], total = total, total + counts[part]
+    if not starts:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    start = F.create_map(*(F.lit(x) for p, s in starts.items() for x in (p, s)))[F.col("_part")]
+    return ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + start).drop("_part")
+
+
+def rows_between(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """Rows of places first to last (not itself)."""
+    return with_place(df, order, "_place").where(F.col("_place").between(first, last - 1)).drop("_place")
+
+
+def side_by_side(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Columns of two tables next to each other by place; the shorter one's are null beyond its end."""
+    left, right = with_place(a, order_a, "_place"), with_place(b, order_b, "_place")
+    return left.join(right, "_place", "full").drop("_place")
+
+
+def feasible_regions(train: DataFrame, evaluation: DataFrame, group: list[str], parameters: int | None = None, validation: DataFrame | None = None) -> DataFrame:
+    """Regions that have rows in all tables, and, for joint components of `parameters` columns, no fewer rows than those."""
+    counted = lambda df, n: df.groupBy(*group).agg(F.count("*").alias(n))
+    out = counted(train, "n_train").join(counted(evaluation, "n_evaluation"), group)
+    if validation is not None:
+        out = out.join(counted(validation, "n_validation"), group)
+    return out if parameters is None else out.where(F.least("n_train", "n_evaluation") >= parameters)

@@ -38,3 +38,13 @@ def region_of_interest(cells: DataFrame, value: str, row: int, col: int, nrow: i
     inside = cells.where(F.col("row").between(row, row + nrow - 1) & F.col("col").between(col, col + ncol - 1)).select((F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), value)
     square = cells.sparkSession.range(side * side).select((F.col("id") / side).cast("int").alias("row"), (F.col("id") % side).cast("int").alias("col"))
     return square.join(inside, ["row", "col"], "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(1.0)))
+
+
+def horizontal_band(cells: DataFrame, value: str, x1: float, x2: float, y: float, width: float, bins: int) -> DataFrame:
+    """Means along a row's direction, by position along x."""
+    return band(cells, value, min(x1, x2), y, max(x1, x2), y, width, bins)
+
+
+def vertical_band(cells: DataFrame, value: str, y1: float, y2: float, x: float, width: float, bins: int) -> DataFrame:
+    """Means along a column's direction, by position along y."""
+    return band(cells, value, x, min(y1, y2), x, max(y1, y2), width, bins)

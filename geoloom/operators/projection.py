@@ -80,3 +80,17 @@ def azimuthal_equidistant(lon: Column, lat: Column, lon0: float, lat0: float, ra
     c = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos_c)))
     k = F.when(cos_c > -1, F.when(F.sin(c) == 0, F.lit(1.0)).otherwise(F.try_divide(c, F.sin(c))))
     return radius * k * F.cos(phi) * F.sin(lam), radius * k * (math.cos(phi0) * F.sin(phi) - math.sin(phi0) * F.cos(phi) * F.cos(lam))
+
+
+LONLAT_WKT = 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+
+
+def wkt(projection: Albers | None) -> str:
+    """A projection as text; None is longitude and latitude."""
+    if projection is None:
+        return LONLAT_WKT
+    p = projection
+    flat = 1 / (1 - math.sqrt(1 - p.e2))
+    base = f'GEOGCS["NAD83",DATUM["North_American_Datum_1983",SPHEROID["GRS 1980",{p.a:.0f},{flat:.9f}]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+    numbers = {"standard_parallel_1": p.lat1, "standard_parallel_2": p.lat2, "latitude_of_center": p.lat0, "longitude_of_center": p.lon0, "false_easting": 0, "false_northing": 0}
+    return f'PROJCS["Albers",{base},PROJECTION["Albers_Conic_Equal_Area"],' + ",".join(f'PARAMETER["{k}",{v:g}]' for k, v in numbers.items()) + ',UNIT["metre",1]]'

@@ -16,9 +16,11 @@ ONE = {
     "min": F.min,
     "max": F.max,
     "range": lambda c: F.max(c) - F.min(c),
-    "qnt25": lambda c: F.percentile(c, F.lit(0.25)),
-    "qnt75": lambda c: F.percentile(c, F.lit(0.75)),
 }
+#: Statistics of one column that take more than one pass.
+QUANTILES = {"qnt25": 0.25, "qnt75": 0.75}
+#: Parts that each pass of `quantiles` divides an interval into.
+PARTS = 1024
 TWO = {
     "corr": F.corr,
     "count": lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).cast("double"),
@@ -27,11 +29,50 @@ TWO = {
 
 def describe(df: DataFrame, columns: list[str], stats: list[str] | None = None) -> DataFrame:
     """(stat, column, value), long."""
-    names = [(s, c) for s in stats or ONE for c in columns]
-    row = df.agg(*(ONE[s](c).cast("double").alias(f"{s}|{c}") for s, c in names))
+    names = [(s, c) for s in stats or (*ONE, *QUANTILES) for c in columns]
+    known = quantiles(df, columns, [QUANTILES[s] for s in dict(names) if s in QUANTILES])
+    row = df.agg(F.count("*").alias("_n"), *(ONE[s](c).cast("double").alias(f"{s}|{c}") for s, c in names if s in ONE))
+    row = row.withColumns({f"{s}|{c}": F.lit(known[c, QUANTILES[s]]).cast("double") for s, c in names if s in QUANTILES})
     return row.unpivot([], [f"`{s}|{c}`" for s, c in names], "key", "value").select(F.substring_index("key", "|", 1).alias("stat"), F.substring_index("key", "|", -1).alias("column"), "value")
 
 
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles, interpolated between neighbours, by (column, share); None of a column without values.
+
+    Each pass counts the rows of PARTS equal parts of every interval in which a wanted rank lies, and goes on with the
+    part that holds it, until that is a single value: a few passes, and never more in one task or on the driver than
+    PARTS counts for each rank. Null and NaN do not count.
+    """
+    if not shares or not columns:
+        return {}
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    ends = df.agg(*(f(value[c]).alias(f"{n}|{c}") for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))).first()
+    found: dict[tuple[str, int], float] = {}
+    wanted = {(c, r): (r, ends[f"lo|{c}"], ends[f"hi|{c}"]) for c in columns for q in shares if ends[f"n|{c}"] for r in (int(np.floor(q * (ends[f"n|{c}"] - 1))), int(np.ceil(q * (ends[f"n|{c}"] - 1))))}
+    while wanted:
+        found |= {key: lo for key, (_, lo, hi) in wanted.items() if lo == hi}
+        wanted = {key: w for key, w in wanted.items() if key not in found}
+        spans = sorted({(key[0], lo, hi) for key, (_, lo, hi) in wanted.items()})
+        if not spans:
+            break
+        parts = [F.when(value[c].between(lo, hi), F.struct(F.lit(k).alias("span"), F.least(F.floor((value[c] - lo) / (hi - lo) * PARTS), F.lit(PARTS - 1)).alias("part"), value[c].alias("v"))) for k, (c, lo, hi) in enumerate(spans)]
+        rows = df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s")).groupBy("s.span", "s.part").agg(F.count("*").alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi")).collect()
+        by = {k: sorted((r for r in rows if r.span == k), key=lambda r: r.part) for k in range(len(spans))}
+        for key, (rank, lo, hi) in wanted.items():
+            for r in by[spans.index((key[0], lo, hi))]:
+                if rank < r.n:
+                    wanted[key] = rank, r.lo, r.hi
+                    break
+                rank -= r.n
+    out = {}
+    for c in columns:
+        for q in shares:
+            at = q * (ends[f"n|{c}"] - 1)
+            low, high = int(np.floor(at)), int(np.ceil(at))
+            out[c, q] = found[c, low] + (found[c, high] - found[c, low]) * (at - low) if ends[f"n|{c}"] else None
+    return out
+
+
 def pairs(df: DataFrame, columns: list[str], stat: str = "corr") -> DataFrame:
     """(a, b, value) of a statistic of every pair, in both orders and with itself."""
     found = df.agg(*(TWO[stat](a, b).alias(f"{a}|{b}") for a, b in combinations(columns, 2)), *(TWO[stat](a, a).alias(f"{a}|{a}") for a in columns))
@@ -48,10 +89,16 @@ def r_squared(predicted: str, observed: str) -> Column:
     return F.pow(F.corr(predicted, observed), 2)
 
 
-def taylor(df: DataFrame, reference: str, predicted: str, group: list[str] = []) -> DataFrame:  # noqa: B006
-    """Standard deviations, centred root mean square difference and correlation, in one pass of moments."""
+def taylor(df: DataFrame, reference: str, predicted: str, group: list[str] = [], normalize: bool = False) -> DataFrame:  # noqa: B006
+    """Standard deviations, centred root mean square difference and correlation, in one pass of moments.
+
+    normalize: deviations and difference as shares of the reference's deviation (null where that is 0).
+    """
     p, r = F.col(predicted), F.col(reference)
     centred = F.sqrt(F.greatest(F.var_pop(p - r), F.lit(0.0)))
+    if normalize:
+        by = F.nullif(F.stddev_pop(r), F.lit(0.0))
+        return df.where(p.isNotNull() & r.isNotNull()).groupBy(*group).agg((F.stddev_pop(r) / by).alias("ref_sdev"), (F.stddev_pop(p) / by).alias("sdev"), (centred / by).alias("crmsd"), F.corr(p, r).alias("corr"))
     return df.where(p.isNotNull() & r.isNotNull()).groupBy(*group).agg(F.stddev_pop(r).alias("ref_sdev"), F.stddev_pop(p).alias("sdev"), centred.alias("crmsd"), F.corr(p, r).alias("corr"))
 
 
@@ -61,6 +108,22 @@ def histogram(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0, b
     return inside.groupBy(F.least(F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def discrete_bounds(df: DataFrame, column: str) -> DataFrame:
+    """(low, high, steps): whole numbers that hold all values, and all whole numbers between them."""
+    ends = df.agg(F.min(column).cast("long").alias("low"), F.ceil(F.max(column)).cast("long").alias("high"))
+    return ends.withColumn("steps", F.when(F.col("low").isNotNull(), F.sequence("low", "high")))
+
+
+def series_range(images: DataFrame, band: str) -> DataFrame:
+    """(low, high): smallest and largest value of a whole series of images."""
+    return images.agg(F.min(band).alias("low"), F.max(band).alias("high"))
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The values that occur, null aside."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct()
+
+
 def range_intersection(df: DataFrame, group: list[str], by: str, column: str) -> DataFrame:
     """The part of [0, 1] that the values of every `by` of a group reach."""
     each = df.groupBy(*group, by).agg(F.min(column).alias("mn"), F.max(column).alias("mx"))
@@ -69,8 +132,8 @@ def range_intersection(df: DataFrame, group: list[str], by: str, column: str) ->
 
 def above_percentile(df: DataFrame, column: str, q: float = 0.7) -> DataFrame:
     """Rows above the percentile of the whole column."""
-    bound = df.agg(F.percentile(column, F.lit(q)).alias("bound"))
-    return df.crossJoin(F.broadcast(bound)).where(F.col(column) > F.col("bound")).drop("bound")  # one row
+    bound = quantiles(df, [column], [q])[column, q]
+    return df.where(F.col(column) > F.lit(bound))
 
 
 def variogram(points: DataFrame, x: str, y: str, z: str, width: float, bins: int) -> DataFrame:
@@ -98,7 +161,7 @@ def fit_variogram(binned: DataFrame, width: float, model: str = "spherical", ste
     """Nugget, partial sill and range that fit the rows of `variogram` best, weighted by their pairs.
 
     For each of `steps` ranges up to twice the largest distance, nugget and sill are the solution of least squares,
-    neither negative. The rows are as many as there are bins.
+    neither negative; of ranges that fit equally well (to a millionth) the shortest. The rows are as many as there are bins.
     """
     if model not in ("spherical", "exponential", "gaussian"):
         raise ValueError(f"unknown model {model}")
@@ -106,7 +169,7 @@ def fit_variogram(binned: DataFrame, width: float, model: str = "spherical", ste
     if not rows:
         raise ValueError("no pairs")
     gap, gamma, weight = (np.array(c, float) for c in zip(*(((r["bin"] + 0.5) * width, r["gamma"], r["n"]) for r in rows)))
-    root, best = np.sqrt(weight), None
+    root, tried = np.sqrt(weight), []
     for reach in np.linspace(2 * gap.max() / steps, 2 * gap.max(), steps):
         f = _shape(model, gap, reach)
         nugget, sill = np.linalg.lstsq(np.stack([root, root * f], 1), root * gamma, rcond=None)[0]
@@ -115,6 +178,6 @@ def fit_variogram(binned: DataFrame, width: float, model: str = "spherical", ste
         elif sill < 0:
             nugget, sill = (weight * gamma).sum() / weight.sum(), 0.0
         error = (weight * (nugget + sill * f - gamma) ** 2).sum() / weight.sum()
-        if best is None or error < best["error"]:
-            best = {"nugget": float(nugget), "sill": float(sill), "range": float(reach), "error": float(error)}
-    return best
+        tried.append({"nugget": float(nugget), "sill": float(sill), "range": float(reach), "error": float(error)})
+    least = min(t["error"] for t in tried)
+    return next(t for t in tried if t["error"] <= least * (1 + 1e-6))

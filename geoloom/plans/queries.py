@@ -175,22 +175,28 @@ def coarsify_block_mean(spark, sf_dir):
     return r6(grid.coarsen(cells(spark, sf_dir), 3, "z"), "z")
 
 
-@query("SELECT row, col, tr AS tile_row, tc AS tile_col FROM " + CELLS + ", (SELECT unnest(range(4)) AS tr), (SELECT unnest(range(4)) AS tc) WHERE row BETWEEN tr * 10 - 2 AND tr * 10 + 11 AND col BETWEEN tc * 13 - 2 AND tc * 13 + 14")
-def tile_halo_explode(spark, sf_dir):
-    out = grid.tiles(cells(spark, sf_dir).where("row < 40"), 40, WIDE, 4, 2)
-    return out.selectExpr("cast(row as bigint) row", "cast(col as bigint) col", "cast(tile_row as bigint) tile_row", "cast(tile_col as bigint) tile_col")
+#: Tiles of the whole raster, 4 x 4 with a halo of 2.
+TILED = f"(SELECT row, col, z, tr, tc FROM {CELLS}, (SELECT (max(row) + 4) // 4 AS h FROM {CELLS}), (SELECT unnest(range(4)) AS tr), (SELECT unnest(range(4)) AS tc) WHERE row BETWEEN tr * h - 2 AND tr * h + h + 1 AND col BETWEEN tc * 13 - 2 AND tc * 13 + 14)"
 
 
-ORACLE_SQL["tile_halo_explode"] = ORACLE_SQL["tile_halo_explode"].replace("FROM " + CELLS, f"FROM (SELECT * FROM {CELLS} WHERE row < 40)")
+def rows_of(c):
+    """Rows of a raster: one number."""
+    return (c.agg(F.max("row")).first()[0] or 0) + 1
 
 
-@query(f"SELECT row, col, z FROM (SELECT *, row AS r FROM {CELLS}) WHERE row < 40")
-def mosaic_overlap_avg(spark, sf_dir):
-    tiled = grid.tiles(cells(spark, sf_dir).where("row < 40"), 40, WIDE, 4, 2)
-    return grid.mosaic(tiled, "z").selectExpr("cast(row as bigint) row", "cast(col as bigint) col", "round(z, 6) z")
+@query(f"SELECT row, col, tr AS tile_row, tc AS tile_col FROM {TILED}")
+def tile_halo_explode(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    out = grid.tiles(c, rows_of(c), WIDE, 4, 2)
+    return out.selectExpr("cast(row as bigint) row", "cast(col as bigint) col", "cast(tile_row as bigint) tile_row", "cast(tile_col as bigint) tile_col")
 
 
-ORACLE_SQL["mosaic_overlap_avg"] = f"SELECT row, col, round(z, 6) AS z FROM {CELLS} WHERE row < 40"
+@query(f"SELECT row, col, round(avg(z + 10 * tr + tc), 6) AS z FROM {TILED} GROUP BY ALL")
+def mosaic_overlap_avg(spark, sf_dir):
+    """Tiles that differ where they overlap."""
+    c = cells(spark, sf_dir)
+    tiled = grid.tiles(c, rows_of(c), WIDE, 4, 2).withColumn("z", F.expr("z + 10 * tile_row + tile_col"))
+    return grid.mosaic(tiled, "z").selectExpr("cast(row as bigint) row", "cast(col as bigint) col", "round(z, 6) z")
 
 
 @query("SELECT l_suppkey AS row, l_linenumber::BIGINT AS col, max_by(l_quantity, l_orderkey * 10000.0::DOUBLE + l_linenumber * 100 + l_quantity) AS z FROM lineitem GROUP BY ALL")
@@ -199,18 +205,24 @@ def merge_last_wins(spark, sf_dir):
     return grid.merge_last(df, "z", "at")
 
 
-@query(f"SELECT coalesce(a.row, b.row) AS row, coalesce(a.col, b.col) AS col, z, s FROM (SELECT row, col, z FROM {CELLS} WHERE row < 30) a FULL JOIN (SELECT row, col, s FROM {CELLS} WHERE row > 10) b ON a.row = b.row AND a.col = b.col")
+@query(f"SELECT coalesce(a.row, b.row) AS row, coalesce(a.col, b.col) AS col, z, s FROM (SELECT row, col, z FROM {CELLS} WHERE s % 3 <> 0) a FULL JOIN (SELECT row, col, s FROM {CELLS} WHERE s % 5 <> 0) b ON a.row = b.row AND a.col = b.col")
 def band_stack(spark, sf_dir):
     c = cells(spark, sf_dir).selectExpr("cast(row as bigint) row", "cast(col as bigint) col", "z", "s")
-    return grid.stack(c.where("row < 30").select("row", "col", "z"), c.where("row > 10").select("row", "col", "s"))
+    return grid.stack(c.where("s % 3 <> 0").select("row", "col", "z"), c.where("s % 5 <> 0").select("row", "col", "s"))
 
 
 FINE = grid.Grid(0.0, 1.0, 40.0, 1.0, 40, WIDE)
 
 
-@query(f"SELECT i // 10 AS row, i % 10 AS col, z FROM range(80) t(i) LEFT JOIN {CELLS} c ON c.row = i // 10 * 5 + 2 AND c.col = i % 10 * 5 + 2")
+def fine(nrow: int) -> grid.Grid:
+    return grid.Grid(0.0, 1.0, float(nrow), 1.0, nrow, WIDE)
+
+
+@query(f"SELECT r.row, k.col, z FROM (SELECT unnest(range((SELECT (max(row) + 5) // 5 FROM {CELLS}))) AS row) r, (SELECT unnest(range(10)) AS col) k LEFT JOIN {CELLS} c ON c.row = r.row * 5 + 2 AND c.col = k.col * 5 + 2")
 def resample_nearest(spark, sf_dir):
-    out = grid.resample_nearest(grid.Grid(0.0, 5.0, 40.0, 5.0, 8, 10), FINE, cells(spark, sf_dir), "z")
+    c = cells(spark, sf_dir)
+    n = rows_of(c)
+    out = grid.resample_nearest(grid.Grid(0.0, 5.0, float(n), 5.0, -(-n // 5), 10), fine(n), c, "z")
     return out.selectExpr("cast(row as bigint) row", "cast(col as bigint) col", "z")
 
 
@@ -226,10 +238,12 @@ def points_to_raster_gaps(spark, sf_dir):
     return r6(out.selectExpr("cast(row as bigint) row", "cast(col as bigint) col", "v"), "v")
 
 
-@query(f"SELECT e.event_id, c.z, c.s FROM events e LEFT JOIN {CELLS} c ON c.row < 40 AND c.col = floor(e.value)::BIGINT AND c.row = (39 - (e.event_id % 40)) ")
+@query(f"SELECT e.event_id, c.z, c.s FROM (SELECT event_id, value, (SELECT max(row) FROM {CELLS}) - event_id % (SELECT max(row) + 1 FROM {CELLS}) AS at FROM events) e LEFT JOIN {CELLS} c ON c.col = floor(e.value)::BIGINT AND c.row = e.at")
 def extract_at_points(spark, sf_dir):
-    p = table(spark, sf_dir, "events").selectExpr("event_id", "value x", "event_id % 40 + 0.5D y")
-    return grid.extract(p, cells(spark, sf_dir), FINE, ["z", "s"]).select("event_id", "z", "s")
+    c = cells(spark, sf_dir)
+    n = rows_of(c)
+    p = table(spark, sf_dir, "events").selectExpr("event_id", "value x", f"event_id % {n} + 0.5D y")
+    return grid.extract(p, c, fine(n), ["z", "s"]).select("event_id", "z", "s")
 
 
 _WINDOW = f"""(SELECT e.row, e.col, a.z AS a, b.z AS b, c.z AS c, d.z AS d, e.z AS e, f.z AS f, g.z AS g, h.z AS h, i.z AS i FROM {CELLS} e
@@ -362,12 +376,6 @@ def knn_gaussian_weight(spark, sf_dir):
     return r6(knn.weighted(knn.join(ev, tr, 10, FEATURES), "gaussian"), "sm")
 
 
-@query()
-def kknn_search(spark, sf_dir):
-    _, tr = sides(spark, sf_dir)
-    return knn.search(tr, FEATURES, 12, 5)
-
-
 @query()
 def local_polynomial_10(spark, sf_dir):
     ev, tr = sides(spark, sf_dir)
@@ -391,11 +399,6 @@ def mi_scores(spark, sf_dir):
     return r6(forest.information_scores(pts(spark, sf_dir), FEATURES), "score")
 
 
-@query()
-def lr_scores(spark, sf_dir):
-    return forest.linear_scores(pts(spark, sf_dir), FEATURES)
-
-
 @query()
 def rf_scores(spark, sf_dir):
     return forest.forest_scores(pts(spark, sf_dir), FEATURES, trees=20)
@@ -505,7 +508,7 @@ def stream_daily_mean(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     stream = windows.file_stream(spark, path, table(spark, sf_dir, "events").schema)
     means = windows.window_means(stream, "ts", ["event_type"], "value")
-    return r6(windows.run_to_end(means, ["event_type", "start"], windows.new_folder(spark, "daily")), "mean")
+    return r6(windows.run_to_end(means, ["event_type", "start"]), "mean")
 
 
 @query(f"SELECT id, printf('%.9f', x) || ',' || printf('%.9f', y) || ',' || printf('%.9f', z) AS line FROM {PTS}")
@@ -513,8 +516,3 @@ def fixed_precision_lines(spark, sf_dir):
     return pts(spark, sf_dir).select("id", F.concat_ws(",", *(sinks.fixed(F.col(c), 9) for c in ("x", "y", "z"))).alias("line"))
 
 
-@query()
-def variogram_fit(spark, sf_dir):
-    """Bins are counted first; the three numbers of the model are one row."""
-    fit = stats.fit_variogram(stats.variogram(pts(spark, sf_dir), "x", "y", "z", 0.05, 6), 0.05)
-    return spark.createDataFrame([tuple(fit.values())], ", ".join(f"`{k}` double" for k in fit))

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from geoloom.plans.queries import ORACLE_SQL, QUERIES
+from geoloom.plans.extended import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -32,6 +32,6 @@ def test_matches_sql(spark, duck, name):
             assert (pd.isna(a) and pd.isna(b)) or (not pd.isna(a) and not pd.isna(b) and (a == b or abs(a - b) <= 2e-6 * max(1, abs(a)))), (c, a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"kknn_search", "rf_scores"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
