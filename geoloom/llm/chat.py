@@ -8,9 +8,12 @@ layout that no mapping's paths are all part of has no turns and comes out as one
 The template marks turns with control strings. Inside texts a backslash goes before every control string and every
 backslash, so no text can end its turn, and reading takes them away again.
 
-Edge cases: null text is empty, a null role the empty role; null conversation ids are one conversation; turns are
-ordered by turn (null first), then role, then text, so repeated rows are repeated turns; a conversation of any length
-is read as a stream in order, holding one turn; an empty table gives an empty result; extra fields do not matter.
+Edge cases: null text is empty, a null role the empty role; null conversation ids are one conversation, and an id that
+is no integer stands for the number that its text hashes to; turns are ordered by turn (null, or no integer, first),
+then place in their record, then output, so repeated rows are repeated turns; records that are no JSON object, are
+nested too deeply to be read or have no layout (as an empty list of messages) are one row without output, and a
+conversation of such alone has no turns; a conversation of any length is read as a stream in order, holding one turn;
+an empty table gives an empty result; extra fields do not matter.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ _ESCAPE = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
 _TOKEN = re.compile(r"(\\.)|(" + "|".join(map(re.escape, CONTROLS)) + ")", re.S)
 
 
+#: Fingerprints that a task keeps.
+MOST_LAYOUTS = 4096
+
+
 @dataclass(frozen=True)
 class Mapping:
     """Paths: a[].b is field b of each element of list a. conversation and place: fields of the record, if any.
@@ -81,7 +88,7 @@ def fingerprint(found: set[str]) -> str:
 
 
 class Layouts:
-    """Mappings by fingerprint; a new fingerprint is looked for once."""
+    """Mappings by fingerprint; a new fingerprint is looked for once, as long as no more than MOST_LAYOUTS are known."""
 
     def __init__(self, mappings=MAPPINGS):
         self.mappings, self.by = mappings, {}
@@ -89,12 +96,27 @@ class Layouts:
     def of(self, record) -> Mapping | None:
         found = paths(record)
         mark = fingerprint(found)
+        if len(self.by) > MOST_LAYOUTS:
+            self.by.clear()
         if mark not in self.by:
             fits = [m for m in self.mappings if m.needs() <= found]
             self.by[mark] = max(fits, key=lambda m: len(m.needs()), default=None)
         return self.by[mark]
 
 
+def _whole(value) -> int | None:
+    """The 64-bit integer that a value is or is written as, else None."""
+    if isinstance(value, str):
+        value = int(value) if re.fullmatch(r"[+-]?\d{1,19}", value.strip()) else None
+    return value if type(value) is int and -(1 << 63) <= value < 1 << 63 else None
+
+
+def conversation_id(value) -> int | None:
+    if value is None or _whole(value) is not None:
+        return _whole(value)
+    return int.from_bytes(hashlib.blake2b(_text(value).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
@@ -163,14 +185,14 @@ def format_records(records: DataFrame, column: str = "record") -> DataFrame:
             for raw, conv in zip(b["record"].to_pylist(), b["conv_id"].to_pylist()):
                 try:
                     record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                mapping = layouts.of(record) if isinstance(record, dict) else None
+                    mapping = layouts.of(record) if isinstance(record, dict) else None
+                except (ValueError, RecursionError):
+                    mapping = None
                 if mapping is None:
                     out.append((conv, None, 0, None, None, 0, 0))
                     continue
-                conv = record[mapping.conversation] if mapping.conversation else conv
-                place = record[mapping.place] if mapping.place else None
+                conv = conversation_id(record[mapping.conversation]) if mapping.conversation else conv
+                place = _whole(record[mapping.place]) if mapping.place else None
                 out.extend((conv, place, k, mapping.name, *formatted(*t)) for k, t in enumerate(turns(record, mapping)))
             cols = list(zip(*out)) if out else [()] * 7
             types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
@@ -199,6 +221,8 @@ def digests(outputs: DataFrame) -> DataFrame:
                     if now is not None:
                         yield row()
                     now, state = (conv,), [hashlib.sha256(), hashlib.sha256(), 0, 0, len(BEGIN)]
+                if output is None:
+                    continue
                 role, text = parsed(output)
                 state[0].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 lost = unescape(output[lo:hi])
@@ -209,7 +233,7 @@ def digests(outputs: DataFrame) -> DataFrame:
         if now is not None:
             yield row()
 
-    rows = outputs.where("output is not null").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "at", "output")
+    rows = outputs.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "at", "output")
     return rows.select("conv_id", "output", "loss_from", "loss_to").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

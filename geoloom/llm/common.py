@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, new_path, shared_dir, stored
+
+__all__ = ["discard", "new_path", "shared_dir", "stored"]
+
 #: A side is broadcast only when its rows times the width stated by the caller stay within this.
 BROADCAST_BYTES = 32 << 20
 #: Texts of one Arrow batch are hashed in pieces of whole documents of about this many bytes.
@@ -24,42 +27,16 @@ CHUNK_BYTES = 1 << 20
 EMPTY_U64 = np.empty(0, np.uint64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; only where unset, one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out.stored_at = path
-    return out
-
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded in bytes, the same for all operators, so that long texts stay within a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4MB")
 
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing needs any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
-    """Arrow batches bounded in bytes, so that very long texts stay within a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}MB")
+def portions(batch: pa.RecordBatch, size: int):
+    """Parts of a batch of about so many bytes, a row at least."""
+    step = max(1, len(batch) // max(1, -(-batch.nbytes // size)))
+    for k in range(0, len(batch), step):
+        yield batch.slice(k, step)
 
 
 def joined(big: DataFrame, side: DataFrame, on: str | list[str], row_bytes: int, how: str = "inner", items: str | None = None) -> DataFrame:
@@ -72,14 +49,36 @@ def joined(big: DataFrame, side: DataFrame, on: str | list[str], row_bytes: int,
     return big.join(F.broadcast(side) if fits else side, on, how)
 
 
-def released(run):
-    """The function of a task, with freed memory given back to the system at its end: idle workers hold none of it."""
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable):
+    """A worker's object that is kept from task to task, such as an encoder with its cache; one at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: neither idle nor busy workers hold what they do not need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run, holds: str | None = None):
+    """The function of a task, which starts without the objects that other operators' tasks held, but for its own of
+    key `holds`, and gives freed memory back after each batch."""
 
     def task(batches):
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        if holds not in _held:
+            _held.clear()
+        for out in run(batches):
+            yield out
+            del out
+            _give_back()
+        _give_back()
 
     return task
 

@@ -173,4 +173,4 @@ def pack(documents: DataFrame, path: str, *, limits: Limits = Limits(), end: int
         packer.finish()
         yield give(packer.take())
 
-    return rows.mapInArrow(released(run), SCHEMA + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(released(run, path), SCHEMA + (", ids binary" if with_ids else ""))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import released, small_batches, texts_of
+from .common import held, released, small_batches, texts_of
 from .tokens import PieceCache, joined_ids
 
 MARK = "▁"
@@ -219,9 +219,6 @@ class Codec:
         return out
 
 
-_made: dict[str, Codec] = {}
-
-
 def transcode(documents: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every document.
 
@@ -232,7 +229,7 @@ def transcode(documents: DataFrame, path: str, *, with_ids: bool = False) -> Dat
     sent = spark.sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches):
-        codec = _made.get(path) or _made.setdefault(path, Codec(sent.value))
+        codec = held(path, lambda: Codec(sent.value))
         for b in batches:
             ids, lengths = codec.encode(texts_of(b["text"]))
             raw = ids.astype("<u4").view(np.uint8)
@@ -244,4 +241,4 @@ def transcode(documents: DataFrame, path: str, *, with_ids: bool = False) -> Dat
                 arrays += [pa.array([ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())], pa.list_(pa.int32())), pa.array([t.decode("utf-8", "replace") for t in texts])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids)
 
-    return documents.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
+    return documents.select("doc_id", "text").mapInArrow(released(run, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))

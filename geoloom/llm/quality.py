@@ -7,7 +7,9 @@ share of the document. Out come the expected grade and the probability of the up
 
 Edge cases: null and empty text have no features, so s = 0 and the thresholds alone decide; repeated rows get equal
 values; with no rating, or a single grade, that grade (0 without any) has probability 1 and all is kept; ratings of
-one document that differ count as their largest; empty tables give an empty result; extra columns are ignored by
+one document that differ count as their largest, and more than MOST_GRADES different ones as that many quantiles;
+texts of any length count whole; a null doc_id is graded and never fitted on; documents of equal probability are kept
+or rejected alike; empty tables give an empty result; extra columns are ignored by
 `grade` and kept by `keep`.
 """
 
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, texts_of
+from .common import held, released, small_batches, texts_of
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 12
 BUCKETS = WORD_BUCKETS + 2 * SHAPE_BUCKETS
 CACHE_WORDS = 300_000
+#: Beyond so many different ratings they count as the largest of as many quantiles that they reach.
 MOST_GRADES = 64
 
 
@@ -114,19 +117,22 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray, ro
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 6000) -> Model:
-    """Fit on at most `sample` rated documents of each grade, the first by a hash of their ids; MOST_GRADES grades."""
+    """Fit on at most `sample` rated documents of each grade, and 4 * sample together, the first by a hash of their ids."""
     small_batches(documents.sparkSession)
     known = labels.select("doc_id", F.col(label).cast("double").alias("rating")).dropna().groupBy("doc_id").agg(F.max("rating").alias("rating"))
     grades = sorted(r[0] for r in known.select("rating").distinct().limit(MOST_GRADES + 1).collect())
     if len(grades) > MOST_GRADES:
-        raise ValueError(f"more than {MOST_GRADES} grades")
+        grades = sorted(set(known.approxQuantile("rating", [k / MOST_GRADES for k in range(MOST_GRADES)], 1e-3)))
+        reached = F.array_max(F.filter(F.array(*map(F.lit, grades)), lambda g: g <= F.col("rating")))
+        known = known.withColumn("rating", F.coalesce(reached, F.lit(grades[0])))
     if not grades:
         return train([], np.empty(0))
-    parts = [known.where(F.col("rating") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for g in grades]
+    each = min(sample, -(-4 * sample // len(grades)))
+    parts = [known.where(F.col("rating") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for g in grades]
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # sample * MOST_GRADES rows at most
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 5 * sample rows at most
 
     def extract(batches):
         make = Features()
@@ -135,9 +141,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", samp
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["rating"], pa.array([i for i, _ in both], pa.list_(pa.int32())), pa.array([v for _, v in both], pa.list_(pa.float32()))], ["doc_id", "rating", "ids", "values"])
 
     table = rows.mapInArrow(released(extract), "doc_id long, rating double, ids array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    found = list(zip((np.array(x) for x in table["ids"].to_pylist()), (np.array(x) for x in table["values"].to_pylist())))
-    found = [(i.astype(np.int64), v) for i, v in found]
-    return train(found, table["rating"].to_numpy())
+    ids, values = (table[c].combine_chunks() for c in ("ids", "values"))
+    at, flat, shares = ids.offsets.to_numpy(), ids.values.to_numpy(), values.values.to_numpy()
+    return train([(flat[a:b], shares[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], table["rating"].to_numpy())
 
 
 def _graded(model: Model, s: np.ndarray, tail_from: float) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +163,7 @@ def grade(documents: DataFrame, labels: DataFrame, *, label: str = "quality", ta
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def scores(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        make, w = _features(), sent.value.weights
+        make, w = held("quality", Features), sent.value.weights
         s = np.array([float(v @ w[i]) for i, v in map(make.of, texts_of(text))])
         return _graded(sent.value, s.reshape(-1), tail_from)
 
@@ -167,24 +173,14 @@ def grade(documents: DataFrame, labels: DataFrame, *, label: str = "quality", ta
                 _, tail = scores(b["text"])
                 yield b.filter(pa.array(tail >= least))
 
-        return documents.mapInArrow(released(mark), documents.schema)
+        return documents.mapInArrow(released(mark, "quality"), documents.schema)
 
     def run(batches):
         for b in batches:
             expected, tail = scores(b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(expected), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return documents.select("doc_id", "text").mapInArrow(released(run), "doc_id long, expected_grade double, tail_probability double, kept boolean")
-
-
-_made: list[Features] = []
-
-
-def _features() -> Features:
-    """This worker's extractor, for its cache."""
-    if not _made:
-        _made.append(Features())
-    return _made[0]
+    return documents.select("doc_id", "text").mapInArrow(released(run, "quality"), "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def keep(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -207,7 +207,7 @@ def cut(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> DataFr
     """
     found = repeats(documents, span=span, right=right)
     name = "ranges"
-    while name in documents.columns:
+    while name in (c.lower() for c in documents.columns):
         name += "_"
     ranges = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words", "kept")).alias(name)).where(F.exists(name, lambda m: ~m["kept"])), "ranges")
     rows = joined(documents, ranges, "doc_id", 64, "left", items=name).select(*(F.col(f"`{c}`") for c in documents.columns), name)

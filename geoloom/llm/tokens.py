@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 #: What a worker's cache may hold, in bytes.
 CACHE_BYTES = 24 << 20
 #: Longer pieces are encoded anew in each batch.
@@ -42,7 +44,11 @@ ALPHABET = "".join(" " if b == 10 else chr(b if b in PRINTABLE else 256 + OTHERS
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Runs of flat, one after another."""
     stops = np.cumsum(sizes)
-    return flat[np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+    total = int(stops[-1]) if len(stops) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (stops - sizes)).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 class PieceCache:
@@ -223,15 +229,9 @@ class Ids:
         return ids, np.diff(np.concatenate([[0], np.cumsum(each)])[offsets - offsets[0]])
 
 
-_made: dict[str, Ids] = {}
-
-
 def encoder(path: str) -> Ids:
-    """This worker's encoder, kept from task to task for its cache; one vocabulary at a time."""
-    if path not in _made:
-        _made.clear()
-        _made[path] = Ids(path)
-    return _made[path]
+    """This worker's encoder, kept from task to task for its cache."""
+    return held(path, lambda: Ids(path))
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -194,7 +194,7 @@ def write(documents: DataFrame, path: str, *, end: int = 2, shard_tokens: int =
             yield shard()
 
     rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(released(run), "part int, seq int, n_tokens long, shard binary"), "shards")
+    return stored(rows.mapInArrow(released(run, path), "part int, seq int, n_tokens long, shard binary"), "shards")
 
 
 def read(shards: DataFrame) -> DataFrame:
