@@ -94,3 +94,15 @@ def lookup(regions: DataFrame, wanted: DataFrame) -> DataFrame:
 def with_parent(regions: DataFrame, code: str = "code") -> DataFrame:
     """One level up, for training on the surrounding region."""
     return regions.withColumn("parent", parent_region(F.col(code)))
+
+
+def boundaries(shapes: DataFrame, attributes: DataFrame, field: str, names: list[str] | None = None, column: str = "state") -> DataFrame:
+    """Vertices of shapes with the name that a field of their attributes gives them, those of some names only.
+
+    shapes and attributes: of the readers of shapefiles; files belong together by their paths without ending.
+    """
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    named = attributes.select(stem("file").alias("_stem"), "record", F.col("fields")[field].alias(column))
+    if names is not None:
+        named = named.where(F.col(column).isin(names))
+    return shapes.withColumn("_stem", stem("file")).join(named, ["_stem", "record"]).drop("_stem")

@@ -139,14 +139,17 @@ def above_percentile(df: DataFrame, column: str, q: float = 0.7) -> DataFrame:
 def variogram(points: DataFrame, x: str, y: str, z: str, width: float, bins: int) -> DataFrame:
     """(bin, n, gamma): half the mean squared difference of pairs by distance.
 
-    Points meet by squares as wide as the largest distance, each with its own and the neighbouring ones.
+    Points meet by squares as wide as the largest distance, each with its own and half of the neighbouring ones, so that
+    every pair meets once.
     """
     far = width * bins
     own = points.select(F.monotonically_increasing_id().alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z")).withColumns({"gx": F.floor(F.col("x") / far), "gy": F.floor(F.col("y") / far)})
-    other = own.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")})
+    ways = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (0, 1), (1, 1), (-1, 1))))
+    other = own.withColumn("way", F.explode(ways)).withColumns({"gx": F.col("gx") - F.col("way.dx"), "gy": F.col("gy") - F.col("way.dy")})
     a, b = own.alias("a"), other.alias("b")
     gap = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
-    both = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.i") < F.col("b.i")))
+    once = (F.col("b.way.dx") != 0) | (F.col("b.way.dy") != 0) | (F.col("a.i") < F.col("b.i"))
+    both = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & once)
     return both.select(F.floor(gap / width).alias("bin"), F.pow(F.col("a.z") - F.col("b.z"), 2).alias("sq")).where(F.col("bin") < bins).groupBy("bin").agg(F.count("*").alias("n"), (F.avg("sq") / 2).alias("gamma"))
 
 

@@ -51,6 +51,16 @@ def terrain_with_gaps(spark, sf_dir):
     return _long(terrain.parameters(gappy(spark, sf_dir), "z", ["slope", "aspect", "hillshade"]), "slope", "aspect", "hillshade")
 
 
+@query(f"SELECT row, col, round({SLOPE}, 6) AS slope FROM {_horn(CELLS)}")
+def slope_by_tile(spark, sf_dir):
+    """Tiles with a halo, each computed by itself, without the halo again: as over the whole raster."""
+    c = cells(spark, sf_dir)
+    n = rows_of(c)
+    found = terrain.parameters(grid.tiles(c, n, WIDE, 4, 1), "z", ["slope"], keep=("tile_row", "tile_col"))
+    own = found.where(f"tile_row = least(row div {-(-n // 4)}, 3) and tile_col = least(col div 13, 3)")
+    return _long(own.select("row", "col", "slope"), "slope")
+
+
 def _convergence_sql():
     aspects = f"(SELECT row, col, {ASPECT} AS aspect FROM {_horn(CELLS)})"
     off = lambda n, dr, dc: f"least(fmod(abs({n} - degrees(atan2({-dc}::DOUBLE, {dr}::DOUBLE))), 360), 360 - fmod(abs({n} - degrees(atan2({-dc}::DOUBLE, {dr}::DOUBLE))), 360))"
@@ -398,6 +408,15 @@ def feasible_regions(spark, sf_dir):
     return points.feasible_regions(table(spark, sf_dir, "customer").selectExpr("c_nationkey nation"), table(spark, sf_dir, "supplier").selectExpr("s_nationkey nation"), ["nation"], parameters=3)
 
 
+@query("SELECT c_mktsegment AS name, n_name AS state, count(*) AS places FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM nation WHERE n_regionkey = 1) GROUP BY ALL")
+def region_boundaries(spark, sf_dir):
+    """Shapes of the regions that carry one of some names, by their attributes."""
+    shapes = table(spark, sf_dir, "customer").selectExpr("'f.shp' file", "c_nationkey record", "0 part", "cast(c_custkey as int) place", "c_acctbal px", "c_acctbal py", "c_mktsegment name")
+    fields = table(spark, sf_dir, "nation").selectExpr("'f.dbf' file", "n_nationkey record", "map('NAME_1', n_name) fields")
+    wanted = [r[0] for r in table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_name").collect()]
+    return region.boundaries(shapes, fields, "NAME_1", wanted).groupBy("name", "state").agg(F.count("*").alias("places"))
+
+
 @query(f"SELECT id, region FROM (SELECT id, CASE WHEN x < 0.1 THEN 'west' ELSE 'east' END AS region, x, y FROM {PTS}) WHERE y BETWEEN -0.1 AND 0.2 AND x BETWEEN -0.2 AND 0.3 AND x <> 0.1")
 def point_in_polygon_by_lookup(spark, sf_dir):
     polygons = spark.createDataFrame([("w", "-0.2_0.1_-0.1_0.2"), ("e", "0.1_0.3_-0.1_0.2")], "id string, label string").select("id", region.box_ring(F.col("label")).alias("ring"))

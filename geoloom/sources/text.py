@@ -78,18 +78,17 @@ def matrix(spark: SparkSession, path: str, width: int, header_rows: int = 0, sep
 
 
 def region_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(reg_type, region) of the catalog: a column for each type, a second line of descriptions, blanks below.
+    """(reg_type, region) of the catalog: a column for each type, a second line of descriptions in each file, blanks below.
 
     All are strings, for a code such as 10 or 6.10 is not a number.
     """
-    wide = spark.read.option("header", True).csv(path)
-    described = wide.first()
-    columns = wide.columns
-    if described is not None:
-        same = F.lit(True)
-        for c in columns:
-            same = same & F.col(f"`{c}`").eqNullSafe(F.lit(described[c]))
-        wide = wide.where(~same)
+    lines = spark.read.option("wholetext", True).text(path).select(F.split("value", "\r?\n").alias("lines"))  # small files
+    first = lines.first()
+    if first is None:
+        return spark.createDataFrame([], "reg_type string, region string")
+    columns = [c.strip().strip('"') for c in first.lines[0].split(",")]
+    body = lines.select(F.posexplode("lines").alias("place", "line")).where("place >= 2 and trim(line) != ''")
+    wide = body.select(F.from_csv("line", F.lit(", ".join(f"`{c}` string" for c in columns))).alias("r")).select("r.*")
     each = F.explode(F.array(*(F.struct(F.lit(c.split(".")[0]).alias("reg_type"), F.trim(F.col(f"`{c}`")).alias("region")) for c in columns)))
     return wide.select(each.alias("r")).select("r.*").where("region is not null and region != ''").distinct()
 
