@@ -82,7 +82,7 @@ def region_catalog(spark: SparkSession, path: str) -> DataFrame:
 
     All are strings, for a code such as 10 or 6.10 is not a number.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.split("value", "\r?\n").alias("lines"))  # small files
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("lines"))  # small files
     first = lines.first()
     if first is None:
         return spark.createDataFrame([], "reg_type string, region string")
