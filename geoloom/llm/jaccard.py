@@ -19,7 +19,7 @@ the similarity if their prefixes (n - ceil(t n) + 1 n-grams) share an n-gram, so
 Sets are known by a 64-bit name of all their n-grams, n-grams by 64-bit names.
 
 Edge cases: null, empty and white texts have an empty set and link with nothing; texts of one to four words are one
-shingle; repeated rows and equal texts share a component; a null doc_id counts as no document and is left out of
+shingle; texts of any length are hashed whole; a doc_id with several texts is in the component of each; repeated rows and equal texts share a component; a null doc_id counts as no document and is left out of
 `links` (its row has component null); an empty table gives an empty result; extra columns are ignored, and kept by
 `keep`.
 """
@@ -255,12 +255,12 @@ def _verify(documents: DataFrame, pairs: DataFrame, owners: DataFrame, percent:
     return out
 
 
-def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22) -> tuple[DataFrame, DataFrame]:
-    """(survey, graph): rows (doc_id, n, name) of all documents, and (node, component) of set names that have links."""
+def _indexed(documents: DataFrame, percent: int, sketch_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(survey, names, runs): rows (doc_id, n, name) of all documents; of each set its smallest doc_id and parities; and
+    the prefix n-grams that several sets have, with the proposals of their runs."""
     spark = documents.sparkSession
     small_batches(spark)
-    docs = documents.select("doc_id", "text")
-    survey = stored(docs.mapInArrow(released(_survey(sketch_bits)), "doc_id long, n long, name long, p0 long, p1 long, p2 long, p3 long, block int, counts binary"), "survey")
+    survey = stored(documents.mapInArrow(released(_survey(sketch_bits)), "doc_id long, n long, name long, p0 long, p1 long, p2 long, p3 long, block int, counts binary"), "survey")
     blocks = survey.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, levels binary").collect()
     levels = np.zeros((max(1, (1 << sketch_bits) >> BLOCK_BITS), 1 << min(sketch_bits, BLOCK_BITS)), np.uint8)
     for r in blocks:
@@ -268,13 +268,27 @@ def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22
     sent = spark.sparkContext.broadcast(levels.ravel())  # 2**sketch_bits bytes, whatever the corpus
     survey = survey.where("block is null").select("doc_id", "n", "name", *PARITIES)
     names = survey.where("n > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), *(F.min(p).alias(p) for p in PARITIES))
-    names = stored(names, "sets")
-    owners = names.select("name", "doc_id")
-    survey = survey.drop(*PARITIES)
-
-    index = docs.mapInArrow(released(_prefixes(sent, percent, sketch_bits)), "token long, name long, n int, at int, centre int")
+    index = documents.mapInArrow(released(_prefixes(sent, percent, sketch_bits)), "token long, name long, n int, at int, centre int")
     dealt = index.repartition("token").sortWithinPartitions("token", "centre", "name")
     runs = stored(dealt.mapInArrow(_propose(percent), "token long, name long, n long, at long, first long, before long"), "runs")
+    return survey.drop(*PARITIES), stored(names, "sets"), runs
+
+
+def _candidates(rows: DataFrame, names: DataFrame, percent: int, apart: str) -> tuple[DataFrame, DataFrame]:
+    """(stored rows with parities, pairs a < b of sets that share an n-gram of rows and pass all filters). apart: a
+    condition on x and y that takes one of the two orders of a pair."""
+    rest = stored(rows.where("(n - at) * {0} >= n * {1}".format(100, percent)).join(names.drop("doc_id"), "name"), "open")
+    x, y = rest.alias("x"), rest.alias("y")
+    differ = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITIES)
+    fits = F.expr(f"{apart} and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n) and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)")
+    return rest, x.join(y, (F.col("x.token") == F.col("y.token")) & fits).selectExpr("least(x.name, y.name) a", "greatest(x.name, y.name) b").distinct()
+
+
+def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """(survey, graph): rows (doc_id, n, name) of all documents, and (node, component) of set names that have links."""
+    docs = documents.select("doc_id", "text")
+    survey, names, runs = _indexed(docs, percent, sketch_bits)
+    owners = names.select("name", "doc_id")
     pairs = runs.selectExpr("least(name, first) a", "greatest(name, first) b").union(runs.selectExpr("least(name, before) a", "greatest(name, before) b")).where("a is not null and a != b")
     # least and greatest skip nulls: a row without a proposal pairs with itself
     pairs = stored(pairs.distinct(), "pairs")
@@ -284,12 +298,7 @@ def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22
     placed = runs.select("token", "name", "n", "at").join(known.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     placed = stored(placed, "placed")
     open_runs = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rest = placed.join(open_runs, "token", "left_semi").where("(n - at) * {0} >= n * {1}".format(100, percent))
-    rest = stored(rest.join(names.drop("doc_id"), "name"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    differ = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITIES)
-    fits = F.expr(f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n) and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)")
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).selectExpr("least(x.name, y.name) a", "greatest(x.name, y.name) b").distinct()
+    rest, more = _candidates(placed.join(open_runs, "token", "left_semi"), names, percent, "x.component < y.component")
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more")
     late = _verify(docs, more, owners, percent)
     graph = stored(components(good.union(late)), "components")
@@ -297,6 +306,22 @@ def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22
     return survey, graph
 
 
+def linked_pairs(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): every link (a, b) between different sets, by their names, each verified once; and the documents
+    (doc_id, name) that have each set. Equal texts are one set and are not paired.
+
+    The join itself, for whoever needs each link: among n texts that are all near copies of each other there are
+    n (n - 1) / 2. `classes` finds which documents belong together without making them all.
+    """
+    docs = documents.select("doc_id", "text")
+    survey, names, runs = _indexed(docs, percent, sketch_bits)
+    rest, found = _candidates(runs.select("token", "name", "n", "at"), names, percent, "x.name < y.name")
+    found = stored(found, "pairs")
+    pairs = _verify(docs, found, names.select("name", "doc_id"), percent)
+    discard(names, runs, rest, found)
+    return pairs, survey.where("n > 0 and doc_id is not null").select("doc_id", "name")
+
+
 def classes(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id: the smallest doc_id reachable by links."""
     survey, graph = links(documents, percent=percent, sketch_bits=sketch_bits)
