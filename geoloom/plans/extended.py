@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import accuracy, grid, knn, local_polynomial, models, points, prep, profile, projection, region, stats, terrain
-from ..sources import geotiff, netcdf, sinks
+from ..sources import binary, config, files, geotiff, netcdf, sinks, text
 from ..storage import new_path
 from .queries import _HELD, CELLS, FEATURES, NUMBERS, ORACLE_SQL, PTS, QUERIES, WIDE, cells, fine, pts, query, r6, rows_of, sides, table
 
@@ -437,6 +437,98 @@ def accuracy_gather(spark, sf_dir):
     return accuracy.gather(each.selectExpr(_METRIC.format(v="a")), each.where("l_linenumber < 5").selectExpr(_METRIC.format(v="b")))
 
 
+# -- files --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey::DOUBLE AS ccustkey, round(c_acctbal, 6) AS x, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey::DOUBLE END AS y FROM customer")
+def csv_round_trip(spark, sf_dir):
+    """A point table written with a header and NA for missing values, read back, with plain headers."""
+    path = new_path(spark, "csv")
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("y"))
+    sinks.write_csv(df, path, missing="NA")
+    return r6(points.normalise_headers(files.read(spark, "points", path)), "x")
+
+
+@query("SELECT s_suppkey::DOUBLE AS a, s_nationkey::DOUBLE AS b, round(s_acctbal, 2) AS c FROM supplier")
+def delimited_scan(spark, sf_dir):
+    """Lines divided by commas and tabs alike, under a header."""
+    path = new_path(spark, "lines")
+    lines = table(spark, sf_dir, "supplier").select(F.format_string("%d,%d\t%.2f", "s_suppkey", "s_nationkey", "s_acctbal").alias("value"))
+    spark.createDataFrame([("a\tb,c",)], "value string").unionByName(lines).repartition(1).sortWithinPartitions(F.col("value") != "a\tb,c").write.text(path)
+    return text.delimited(spark, path)
+
+
+@query(f"SELECT round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS sm FROM {PTS}")
+def predictions_round_trip(spark, sf_dir):
+    """Predictions without a header at nine decimals, with a degree behind, and the first three columns of them."""
+    path = new_path(spark, "predictions")
+    sinks.write_predictions(pts(spark, sf_dir).selectExpr("x", "y", "z", "cast(id % 4 as int) degree"), path)
+    return text.predictions(spark, path)
+
+
+@query("SELECT s_suppkey::DOUBLE AS c0, s_nationkey::DOUBLE AS c1 FROM supplier")
+def matrix_scan(spark, sf_dir):
+    """Numbers divided by blanks below two lines of header."""
+    path = new_path(spark, "matrix")
+    body = table(spark, sf_dir, "supplier").select(F.format_string("%d   %d", "s_suppkey", "s_nationkey").alias("value"), F.lit(1).alias("k"))
+    spark.createDataFrame([("one two", 0), ("3 4", 0)], "value string, k int").unionByName(body).repartition(1).sortWithinPartitions("k", F.desc("value")).select("value").write.text(path)
+    return text.matrix(spark, path, 2, header_rows=2, separator="\\s+")
+
+
+@query(f"SELECT row, col, round(10 + col * 0.5, 6) AS x, round(20 + (n - 1 - row) * 0.5, 6) AS y, nullif(z, -99) AS z FROM {CELLS}, (SELECT max(row) + 1 AS n FROM {CELLS})")
+def saga_grid_scan(spark, sf_dir):
+    """A grid of a text header and raw numbers, the lowest row first."""
+    import numpy as np
+
+    c, path = cells(spark, sf_dir), new_path(spark, "saga")
+    n = rows_of(c)
+    z = np.full((n, WIDE), -99.0)
+    for r in c.select("row", "col", "z").toLocalIterator():
+        z[r.row, r.col] = r.z
+    head = f"DATAFORMAT\t= DOUBLE\nBYTEORDER_BIG\t= FALSE\nPOSITION_XMIN\t= 10\nPOSITION_YMIN\t= 20\nCELLCOUNT_X\t= {WIDE}\nCELLCOUNT_Y\t= {n}\nCELLSIZE\t= 0.5\nNODATA_VALUE\t= -99\nTOPTOBOTTOM\t= FALSE\n"
+    geotiff.save(spark.createDataFrame([("g.sgrd", bytearray(head.encode())), ("g.sdat", bytearray(z[::-1].astype("<f8").tobytes()))], "name string, content binary"), path)
+    return _long(binary.saga_grids(spark, path).drop("file"), "x", "y")
+
+
+@query(f"SELECT id, CASE WHEN id % 2 = 0 THEN 'rmse' ELSE 'r2' END AS kind, round(z + id, 4) AS value, (1990 + id % 20)::INT AS year FROM {PTS}")
+def metric_lines_appended(spark, sf_dir):
+    """Lines of two runs appended to one file set, and parsed again."""
+    path = new_path(spark, "metrics")
+    lines = pts(spark, sf_dir).select("id", F.round(F.col("z") + F.col("id"), 4).alias("value"), F.format_string("/data/%d/month3-x/CEC_%d/predictions/%s.csv", 1990 + F.col("id") % 20, F.col("id"), F.when(F.col("id") % 2 == 0, "rmse").otherwise("r2")).alias("path"))
+    for k in (0, 1):
+        sinks.append_metrics(lines.where(F.col("id") % 2 == k), path)
+    parsed = spark.read.text(path).select(*scalars.metric_line(F.col("value")))
+    return parsed.select(F.col("region").cast("long").alias("id"), F.col("method").alias("kind"), "value", "year")
+
+
+@query("SELECT reg_type, region FROM (VALUES ('CEC', '10'), ('CEC', '6.2.10'), ('STATE', 'Iowa'), ('STATE', 'Ohio')) t(reg_type, region) UNION ALL SELECT 'BOX', '-100_' || n_nationkey || '_30_40' FROM nation")
+def region_catalog_scan(spark, sf_dir):
+    """The catalog's file, and a list of regions as a setting has it."""
+    path = new_path(spark, "catalog")
+    geotiff.save(spark.createDataFrame([("regions.csv", bytearray(b"CEC.lvl1,CEC.lvl3,STATE\nlevel one,level three,a state\n10,6.2.10,Ohio\n,,Iowa\n"))], "name string, content binary"), path)
+    settings = config.read_config(config.write_config({"job": {"regions": repr([("BOX", f"-100_{r[0]}_30_40") for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()])}}))
+    listed = text.region_list(spark, repr(settings["job"]["regions"]))
+    return text.region_catalog(spark, path).unionByName(listed.drop("place"))
+
+
+@query("SELECT 'KKNN' AS model, k::VARCHAR AS k, w AS weights FROM (SELECT unnest([5, 10]) AS k), (SELECT unnest(['uniform', 'distance']) AS w) UNION ALL SELECT 'HYPPO', d::VARCHAR, NULL FROM (SELECT unnest([1, 2, 3]) AS d)")
+def parameter_grid(spark, sf_dir):
+    found = config.parameter_grid(spark, {"KKNN": {"k": [5, 10], "weights": ["uniform", "distance"]}, "HYPPO": {"k": [1, 2, 3]}})
+    return found.select("model", F.col("flags")["k"].alias("k"), F.col("flags")["weights"].alias("weights"))
+
+
+@query(f"SELECT round(col + 0.5, 7) AS x, round(n - row - 0.5, 7) AS y, round(z, 7) AS z, row_number() OVER (ORDER BY row, col) AS place FROM {CELLS}, (SELECT max(row) + 1 AS n FROM {CELLS})")
+def xyz_in_raster_order(spark, sf_dir):
+    """Points written north to south and west to east, in files whose names keep that order."""
+    c, path = cells(spark, sf_dir), new_path(spark, "xyz")
+    sinks.write_raster(c, fine(rows_of(c)), ["z"], path, "XYZ")
+    from pyspark.sql import Window
+
+    back = spark.read.schema("x double, y double, z double").option("header", True).csv(path)
+    order = Window.partitionBy(F.lit(0)).orderBy("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id())  # the order is what is read here
+    return r6(back.withColumn("place", F.row_number().over(order).cast("long")), "x", "y", "z")
+
+
 # -- scalars ------------------------------------------------------------------------------------------------------
 
 
