@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import knn
+
 #: Spark ML's own limit.
 DEEPEST = 30
+#: Shares of a deviation that count as equal.
+SAME = 1e-9
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -54,6 +60,48 @@ def information_scores(df: DataFrame, features: list[str], target: str = "z", bi
     return part.groupBy("feature").agg(F.sum("part").alias("score"))
 
 
+def neighbour_information(df: DataFrame, features: list[str], target: str = "z", k: int = 3) -> DataFrame:
+    """(feature, score): mutual information of each feature and the target by the k nearest neighbours of every row in
+    both together (largest difference), and the counts of rows as near in either alone; not below 0.
+
+    Both are divided by their deviation. The two columns of each feature are broadcast: for tables beyond
+    knn.BROADCAST_BYTES use `information_scores`. Differences of less than SAME are none.
+    """
+    spark, names = df.sparkSession, [*features, target]
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in names)).na.drop()
+    n = rows.count()
+    if n * len(names) * 8 > knn.BROADCAST_BYTES:
+        raise ValueError("too many rows: use information_scores")
+    if n <= k:
+        return spark.createDataFrame([(f, 0.0) for f in features], "feature string, score double")
+    table = rows.toArrow()
+    columns = {c: table[c].to_numpy() / (np.std(table[c].to_numpy()) or 1.0) for c in names}
+    sent, step = spark.sparkContext.broadcast(columns), 4096
+    harmonic = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])  # digamma(m) = harmonic[m - 1] - gamma
+
+    def near(values: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        order, reach = np.sort(values), np.maximum(reach - SAME, SAME)
+        return np.searchsorted(order, at + reach, "left") - np.searchsorted(order, at - reach, "right")
+
+    def run(batches):
+        for b in batches:
+            out, blocks = [], {}
+            for place in b["id"].to_pylist():
+                feature, first = features[place % len(features)], place // len(features) * step
+                x, z = sent.value[feature], sent.value[target]
+                both = np.column_stack([x, z])
+                if feature not in blocks:
+                    blocks = {feature: knn.Blocks(both, np.arange(n), z)}
+                row, rank, _, gap, _ = blocks[feature].search(both[first : first + step], k + 1, np.maximum)  # the row itself is one
+                reach = np.sqrt(gap[rank == k + 1])
+                out.append((feature, float((harmonic[near(x, x[first : first + step], reach) - 1] + harmonic[near(z, z[first : first + step], reach) - 1]).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out]), pa.array([v for _, v in out])], ["feature", "part"])
+
+    parts = spark.range(-(-n // step) * len(features)).mapInArrow(run, "feature string, part double")
+    whole = float(harmonic[n - 1] + harmonic[k - 1])
+    return parts.groupBy("feature").agg(F.greatest(F.lit(0.0), whole - F.sum("part") / n).alias("score"))
+
+
 def ranked(scores: DataFrame, group: list[str], descending: bool = True) -> DataFrame:
     """Column rank within a group; ties by feature."""
     order = F.col("score").desc() if descending else F.col("score").asc()

@@ -61,16 +61,19 @@ class Tree:
         return out
 
 
-def _gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray, norm=np.add) -> np.ndarray:
     """Squared distances of points from boxes, a row for each point: never above what `_nearest` finds within."""
     out = np.zeros((len(points), len(low)))
     for c in range(points.shape[1]):
-        out += np.maximum(np.maximum(low[None, :, c] - points[:, c, None], points[:, c, None] - high[None, :, c]), 0) ** 2
+        norm(out, np.maximum(np.maximum(low[None, :, c] - points[:, c, None], points[:, c, None] - high[None, :, c]), 0) ** 2, out=out)
     return out
 
 
-def _nearest(points: np.ndarray, train: np.ndarray, tids: np.ndarray, z: np.ndarray, k: int):
-    """(row, tid, squared distance, z) of the k nearest of each point, by (distance, id)."""
+def _nearest(points: np.ndarray, train: np.ndarray, tids: np.ndarray, z: np.ndarray, k: int, norm=np.add):
+    """(row, tid, squared distance, z) of the k nearest of each point, by (distance, id).
+
+    norm puts the squares of the coordinates' differences together: np.add, or np.maximum for the largest.
+    """
     order = np.argsort(tids, kind="stable")
     train, tids, z = train[order], tids[order], z[order]
     k, found = min(k, len(tids)), []
@@ -78,7 +81,7 @@ def _nearest(points: np.ndarray, train: np.ndarray, tids: np.ndarray, z: np.ndar
         part = points[at : at + 256]
         d = np.zeros((len(part), len(train)))
         for c in range(train.shape[1]):
-            d += (part[:, c, None] - train[None, :, c]) ** 2
+            norm(d, (part[:, c, None] - train[None, :, c]) ** 2, out=d)
         bound = np.partition(d, k - 1, axis=1)[:, k - 1]
         row, col = np.nonzero(d <= bound[:, None])
         gap = d[row, col]
@@ -116,16 +119,16 @@ class Blocks:
         self.low = np.array([self.points[a:b].min(0) for a, b in full])
         self.high = np.array([self.points[a:b].max(0) for a, b in full])
 
-    def search(self, points: np.ndarray, k: int):
+    def search(self, points: np.ndarray, k: int, norm=np.add):
         """(row, rank, tid, squared distance, z) of the k nearest of each point."""
         own = np.maximum(self.where[self.tree.leaf(points)], 0)
-        gaps = _gaps(points, self.low, self.high)
+        gaps = _gaps(points, self.low, self.high, norm)
         found, bound = [], np.full(len(points), np.inf)
         for mine in (True, False):
             for block, (a, b) in enumerate(self.spans):
                 rows = np.flatnonzero((own == block) if mine else (own != block) & (gaps[:, block] <= bound))
                 if len(rows):
-                    row, tid, gap, z = _nearest(points[rows], self.points[a:b], self.tids[a:b], self.z[a:b], k)
+                    row, tid, gap, z = _nearest(points[rows], self.points[a:b], self.tids[a:b], self.z[a:b], k, norm)
                     found.append((rows[row], tid, gap, z))
                     if b - a >= k:
                         bound[rows] = np.minimum(bound[rows], np.maximum.reduceat(gap, np.arange(0, len(gap), k)))

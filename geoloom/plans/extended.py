@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import accuracy, grid, knn, local_polynomial, models, points, prep, profile, projection, region, stats, terrain
+from ..operators import accuracy, forest, grid, knn, local_polynomial, models, points, prep, profile, projection, region, stats, terrain
 from ..sources import binary, config, files, geotiff, netcdf, sinks, text
 from ..storage import new_path
 from .queries import _HELD, CELLS, FEATURES, NUMBERS, ORACLE_SQL, PTS, QUERIES, WIDE, cells, fine, pts, query, r6, rows_of, sides, table
@@ -289,11 +289,26 @@ def _linear_sql() -> str:
 
 @query(_linear_sql())
 def lr_scores(spark, sf_dir):
-    from ..operators import forest
-
     return forest.linear_scores(pts(spark, sf_dir), FEATURES).withColumn("score", F.round("score", 5))
 
 
+def _information_sql(k: int) -> str:
+    parts = []
+    for f in FEATURES:
+        scaled = f"(SELECT id, {f} / stddev_pop({f}) OVER () AS x, z / stddev_pop(z) OVER () AS z FROM {PTS})"
+        gaps = f"(SELECT a.id, abs(a.x - b.x) AS dx, abs(a.z - b.z) AS dz, greatest(abs(a.x - b.x), abs(a.z - b.z)) AS d FROM {scaled} a, {scaled} b)"
+        reach = f"(SELECT id, d AS r FROM {gaps} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) = {k + 1})"
+        counts = f"SELECT id, count(*) FILTER (dx < greatest(r - 1e-9, 1e-9)) AS nx, count(*) FILTER (dz < greatest(r - 1e-9, 1e-9)) AS nz FROM {gaps} JOIN {reach} USING (id) GROUP BY id"
+        parts.append(f"SELECT '{f}' AS feature, round(greatest(0, (SELECT h FROM h WHERE m = (SELECT count(*) FROM {PTS}) - 1) + (SELECT h FROM h WHERE m = {k - 1}) - avg(a.h + b.h)), 5) AS score FROM ({counts}) c JOIN h a ON a.m = nx - 1 JOIN h b ON b.m = nz - 1")
+    return f"WITH h AS (SELECT 0 AS m, 0::DOUBLE AS h UNION ALL SELECT i, sum(1.0::DOUBLE / i) OVER (ORDER BY i) FROM range(1, (SELECT count(*) + 1 FROM embeddings)) t(i)) " + " UNION ALL ".join(parts)
+
+
+@query(_information_sql(3))
+def mi_neighbour_scores(spark, sf_dir):
+    """Mutual information by the three nearest neighbours."""
+    return forest.neighbour_information(pts(spark, sf_dir), FEATURES).withColumn("score", F.round("score", 5))
+
+
 @query()
 def sbm(spark, sf_dir):
     """One polynomial for each farthest row left out, from sums over all others."""
