@@ -119,6 +119,11 @@ class Blocks:
         self.low = np.array([self.points[a:b].min(0) for a, b in full])
         self.high = np.array([self.points[a:b].max(0) for a, b in full])
 
+    def places(self, tids: np.ndarray) -> np.ndarray:
+        """Where the rows of some ids are, any shape."""
+        order = np.argsort(self.tids, kind="stable")
+        return order[np.searchsorted(self.tids, tids, sorter=order)]
+
     def search(self, points: np.ndarray, k: int, norm=np.add):
         """(row, rank, tid, squared distance, z) of the k nearest of each point."""
         own = np.maximum(self.where[self.tree.leaf(points)], 0)
@@ -145,20 +150,31 @@ def _batch(eid, rank, tid, gap, z) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t)) for c, t in zip((eid, rank, tid, np.sqrt(np.asarray(gap, float)), z), types)], FIELDS)
 
 
+def broadcast_blocks(train: DataFrame, features: list[str], *, tid: str = "tid", target: str = "z", scale: list[float] | None = None):
+    """The training rows with whole coordinates and target as broadcast Blocks; None of no rows, or beyond BROADCAST_BYTES."""
+    right = _vectors(train, tid, "tid", features, scale, F.col(target).cast("double").alias("z")).na.drop()
+    n, width = right.count(), len(features)
+    if not n or n * (width + 2) * 8 > BROADCAST_BYTES:
+        return None
+    table = right.toArrow()
+    return train.sparkSession.sparkContext.broadcast(Blocks(_matrix(table["v"], width), table["tid"].to_numpy(), table["z"].to_numpy()))
+
+
+def _vectors(df: DataFrame, key: str, name: str, features: list[str], scale: list[float] | None, *more: Column) -> DataFrame:
+    """(name, v, more..): rows whose coordinates are all there, as an array."""
+    vector = F.array(*(F.col(c).cast("double") * s for c, s in zip(features, scale or [1.0] * len(features))))
+    rows = df.select(F.col(key).cast("long").alias(name), vector.alias("v"), *more)
+    return rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+
 def join(evaluation: DataFrame, train: DataFrame, k: int, features: list[str], *, eid: str = "eid", tid: str = "tid", target: str = "z", scale: list[float] | None = None) -> DataFrame:
     """(eid, rank, tid, distance, z): distance is the root of the sum of (scale * difference) ** 2."""
-    scale, width = scale or [1.0] * len(features), len(features)
-    vector = lambda: F.array(*(F.col(c).cast("double") * s for c, s in zip(features, scale)))
-    whole = lambda df: df.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    right = whole(train.select(F.col(tid).cast("long").alias("tid"), vector().alias("v"), F.col(target).cast("double").alias("z"))).na.drop()
-    left = whole(evaluation.select(F.col(eid).cast("long").alias("eid"), vector().alias("v")))
-    n = right.count()
-    if not n:
-        return evaluation.sparkSession.createDataFrame([], JOIN_SCHEMA)
-    if n * (width + 2) * 8 > BROADCAST_BYTES:
-        return _join_blocks(left, right, n, k, width)
-    table = right.toArrow()
-    sent = evaluation.sparkSession.sparkContext.broadcast(Blocks(_matrix(table["v"], width), table["tid"].to_numpy(), table["z"].to_numpy()))
+    width, left = len(features), _vectors(evaluation, eid, "eid", features, scale)
+    sent = broadcast_blocks(train, features, tid=tid, target=target, scale=scale)
+    if sent is None:
+        right = _vectors(train, tid, "tid", features, scale, F.col(target).cast("double").alias("z")).na.drop()
+        n = right.count()
+        return _join_blocks(left, right, n, k, width) if n else evaluation.sparkSession.createDataFrame([], JOIN_SCHEMA)
 
     def run(batches):
         for b in batches:

@@ -30,6 +30,8 @@ MOST_ERROR = 9999.0
 SCHEMA = "eid long, sm double, degree int"
 #: The lasso's penalties, from the largest to the smallest that is tried.
 PENALTIES = np.geomspace(1.0, 2.0**-9, 28)
+#: Neighbourhoods that are fitted at once.
+TOGETHER = 256
 #: Training rows up to which the global form may list its neighbours.
 FEW = 2000
 
@@ -99,7 +101,10 @@ def solve(points: np.ndarray, values: np.ndarray, degree: int, tried: list[np.nd
     """Least squares. Where columns outnumber what the rows determine: with coefficients from earlier fits, only the
     terms take part whose sum there is among the largest, as many as rows (more where equal); without, as `terms` says.
     """
-    a = design(points, degree)
+    return _solved(design(points, degree), values, tried, terms, rng)
+
+
+def _solved(a: np.ndarray, values: np.ndarray, tried: list[np.ndarray] | None = None, terms: Terms = Terms(), rng: np.random.Generator | None = None) -> np.ndarray:
     n, m = a.shape
     if m <= n and np.linalg.matrix_rank(a) == m:
         return np.linalg.solve(a.T @ a, a.T @ values)
@@ -147,7 +152,13 @@ def predict(evaluation: DataFrame, train: DataFrame, features: list[str], *, k:
     """(eid, sm, degree[, errors, counts]), sm within [low, high].
 
     details: every degree's summed error, and how many monomials of each degree the model has.
+
+    While the training rows may be broadcast, neighbourhoods are found and fitted where the evaluation rows are, those
+    of a batch together, and nothing is shuffled; beyond that, neighbourhoods meet their rows in a cogroup.
     """
+    sent = knn.broadcast_blocks(train, features, tid=tid, target=target) if terms.kind == "least_norm" and folds is None and not details else None
+    if sent is not None:
+        return _predict_in_place(knn._vectors(evaluation, eid, "eid", features, None), sent, k, degree, low, high)
     near = knn.join(evaluation, train, k, features, eid=eid, tid=tid, target=target)
     hoods = near.groupBy("eid").agg(F.array_sort(F.collect_list("tid")).alias("hood"))  # k ids a row
     asked = hoods.join(evaluation.select(F.col(eid).cast("long").alias("eid"), F.array(*(F.col(f).cast("double") for f in features)).alias("point")), "eid")
@@ -175,6 +186,54 @@ def predict(evaluation: DataFrame, train: DataFrame, features: list[str], *, k:
     return asked.groupBy("hood").cogroup(members.groupBy("of")).applyInPandas(fit, schema)
 
 
+def _predict_in_place(rows: DataFrame, sent, k: int, degree: int, low: float, high: float) -> DataFrame:
+    def run(batches):
+        blocks = sent.value
+        for b in batches:
+            if not len(b):
+                continue
+            points = knn._matrix(b["v"], blocks.points.shape[1])
+            _, _, tid, _, _ = blocks.search(points, k)
+            hoods, which = np.unique(np.sort(tid.reshape(len(points), -1), axis=1), axis=0, return_inverse=True)
+            which, out, degrees = which.ravel(), np.empty(len(points)), np.empty(len(points), np.int32)
+            for at in range(0, len(hoods), TOGETHER):
+                place = blocks.places(hoods[at : at + TOGETHER])
+                x = blocks.points[place]
+                shift, scale = x.mean(1, keepdims=True), x.std(1, keepdims=True)
+                scale[scale == 0] = 1.0
+                chosen, models = fit_together((x - shift) / scale, blocks.z[place], degree)
+                for h in range(len(place)):
+                    mine = np.flatnonzero(which == at + h)
+                    out[mine] = design((points[mine] - shift[h]) / scale[h], chosen[h]) @ models[h]
+                    degrees[mine] = chosen[h]
+            yield pa.RecordBatch.from_arrays([b["eid"], pa.array(np.clip(out, low, high)), pa.array(degrees)], ["eid", "sm", "degree"])
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def fit_together(points: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(degrees, models) of many neighbourhoods (H, n, variables) at once: `choose_degree` and `solve`, each point a fold."""
+    count, n, variables = points.shape
+    folds = np.array([[j for j in range(n) if j != i] for i in range(n)], int).reshape(n, n - 1)
+    errors, fits, designs = [], [], []
+    for d in range(most + 1):
+        a = design(points.reshape(-1, variables), d).reshape(count, n, -1)
+        designs.append(a)
+        if n < 2:
+            errors.append(np.zeros(count))
+            fits.append(np.zeros((count, 0, a.shape[2])))
+            continue
+        size = max(n - 1, a.shape[2])
+        w = (np.linalg.pinv(a[:, folds], rcond=size * np.finfo(float).eps) @ values[:, folds][..., None])[..., 0]
+        missed = ((a * w).sum(2) - values) ** 2
+        errors.append(np.where(np.isfinite(missed), np.minimum(missed, MOST_ERROR), MOST_ERROR).sum(1))
+        fits.append(w)
+    degrees, models = np.argmin(np.stack(errors, 1), axis=1), []
+    for h, d in enumerate(degrees.tolist()):
+        models.append(_solved(designs[d][h], values[h], list(fits[d][h])))
+    return degrees, models
+
+
 def farthest(evaluation: DataFrame, train: DataFrame, features: list[str], eid: str, tid: str) -> DataFrame:
     """(eid, far): the training row farthest from each evaluation row, the largest id of equally far ones.
 

@@ -8,7 +8,7 @@ from geoloom.operators import forest, grid, knn, local_polynomial, models, point
 from geoloom.sources import files, geotiff, netcdf, sinks
 from geoloom.storage import discard, new_path, shared_dir, stored
 
-PLANE = [(i, float(a), float(b), float(0.3 + 0.2 * a - 0.1 * b + 0.2 * a * b)) for i, (a, b) in enumerate(np.random.default_rng(0).random((60, 2)))]
+PLANE = [(i, float(a), float(b), float(0.3 + 0.2 * a - 0.1 * b + 0.2 * a * b + 0.01 * e)) for i, (a, b, e) in enumerate(np.random.default_rng(0).random((60, 3)))]
 
 
 @pytest.fixture(scope="module")
@@ -170,6 +170,17 @@ def test_local_polynomial_is_brute_force(rows):
         assert got[i][1] == d and abs(got[i][0] - np.clip(local_polynomial.design(ask, d)[0] @ w, 0, 1)) < 1e-6
 
 
+def test_neighbourhoods_are_fitted_together_as_alone():
+    r = np.random.default_rng(6)
+    x, z = r.random((40, 9, 3)), r.random((40, 9))
+    x = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    degrees, fits = local_polynomial.fit_together(x, z, 3)
+    for h in range(40):
+        chosen, tried, _ = local_polynomial.choose_degree(x[h], z[h], 3)
+        assert chosen == degrees[h] and np.allclose(local_polynomial.solve(x[h], z[h], chosen, tried), fits[h], atol=1e-6)
+    assert len(set(degrees.tolist())) > 2 and local_polynomial.fit_together(x[:, :1], z[:, :1], 2)[0].tolist() == [0] * 40
+
+
 def test_terms_of_the_lasso():
     r = np.random.default_rng(5)
     a = np.column_stack([np.ones(40), r.normal(size=(40, 8))])
