@@ -10,8 +10,9 @@ both places. A suffix is known by the names of its word blocks: first its `right
    name occurs once are dropped. The others are all repeats there are, and their unions the passages of any length.
    Of each window the first occurrence by (doc_id, position) is the one that stays.
 
-Sorting spills and runs are read as a stream, so a passage that a third of the corpus shares needs no memory. Words
-are lower-cased runs of non-white characters. Blocks are compared by 64-bit names and windows by 96 bits.
+Sorting spills and runs are read as a stream, so a passage that a third of the corpus shares needs no memory. Blocks and
+windows that several documents of a sample have are dealt out by document too: they are known to be met again, and
+only the first of each part is compared for the first of all. So no task reads all places of a frequent name. Words are lower-cased runs of non-white characters. Blocks are compared by 64-bit names and windows by 96 bits.
 
 Edge cases: null, empty and short texts have no suffixes; a null doc_id never matches; rows that repeat a doc_id are
 one document, whose matches apply to each of them; passages repeated within one document count too; an empty table
@@ -30,6 +31,8 @@ from . import common
 from .common import hash_words, joined, mix, released, small_batches, stored, texts_of, word_spans
 
 SPAN, RIGHT, GRAM = 50, 35, 8
+#: Names that HITS documents have of a sample (this share of all, and at most so many) are dealt out over SALTS parts.
+SAMPLE_SHARE, SAMPLE_DOCUMENTS, HITS, SALTS = 0.02, 20_000, 8, 256
 OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -52,8 +55,8 @@ def minimisers(names: np.ndarray, counts: np.ndarray, span: int, right: int) ->
     return starts, starts + np.lib.stride_tricks.sliding_window_view(grams, width)[starts].argmin(1)
 
 
-def _suffixes(span: int, right: int):
-    """Rows (key, doc_id, at) of every kept suffix."""
+def _suffixes(span: int, right: int, salted=None):
+    """Rows (key, doc_id, at[, salt]) of every kept suffix."""
 
     def run(batches):
         for b in batches:
@@ -63,43 +66,71 @@ def _suffixes(span: int, right: int):
                 at = np.unique(minimisers(names, counts, span, right)[1])
                 ends = np.cumsum(counts)
                 doc = np.searchsorted(ends, at, side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(block_names(names, at, right).view(np.int64)), pa.array(docs[first + doc].astype(np.int64)), pa.array((at - (ends - counts)[doc]).astype(np.int32))], ["key", "doc_id", "at"])
+                out = pa.RecordBatch.from_arrays([pa.array(block_names(names, at, right).view(np.int64)), pa.array(docs[first + doc].astype(np.int64)), pa.array((at - (ends - counts)[doc]).astype(np.int32))], ["key", "doc_id", "at"])
+                yield salted(out) if salted else out
 
     return run
 
 
+def _salted(hot, columns: list[str]):
+    """Adds column salt: of places whose name is among the hot ones a number by document, else 0.
+
+    hot: arrays of the names' parts, by the first of them, which differ.
+    """
+
+    def mark(b: pa.RecordBatch) -> pa.RecordBatch:
+        names = [b[c].to_numpy() for c in columns]
+        at = np.minimum(np.searchsorted(hot[0], names[0]), max(0, len(hot[0]) - 1))
+        among = np.all([h[at] == n for h, n in zip(hot, names)], axis=0) if len(hot[0]) else np.zeros(len(b), bool)
+        salt = np.where(among, 1 + b["doc_id"].to_numpy() % SALTS, 0).astype(np.int32)
+        return b.append_column("salt", pa.array(salt))
+
+    return mark
+
+
+def _hot(places: DataFrame, by: list[str]) -> list[np.ndarray]:
+    """Names that a sample's places have in HITS documents or more: fewer than the sample's places by HITS."""
+    found = places.groupBy(*by).agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= HITS).select(*by).toArrow()
+    names = [found[c].to_numpy() for c in by]
+    _, first = np.unique(names[0], return_index=True)
+    return [n[first] for n in names]
+
+
 def _met_again(*by: str):
-    """Streams rows sorted by (*by, doc_id, at): gives out those whose name, by, has two places or more, and whether first."""
+    """Streams rows sorted by (*by, salt, doc_id, at): gives out those whose name, by, has two places or more, and whether
+    they are the first. Names with a salt are known to have; of these the first with each salt keeps its name."""
+    names = (*by, "salt", "doc_id", "at")
 
     def run(batches):
         held = None  # the open run's last row, with whether it is the run's first and whether it was given out
         for b in batches:
-            cols = [b[c].to_numpy() for c in (*by, "doc_id", "at")]
+            cols = [b[c].to_numpy() for c in names]
             if held is not None:
                 cols = [np.concatenate([[h], c]) for h, c in zip(held[0], cols)]
             keep = np.ones(len(cols[0]), bool)
             keep[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
             cols = [c[keep] for c in cols]
-            doc, at = cols[-2:]
+            salt, doc, at = cols[-3:]
             follows = np.zeros(len(at), bool)
             follows[1:] = np.all([c[1:] == c[:-1] for c in cols[:-2]], axis=0)
-            many = follows.copy()
+            many = follows | (salt > 0)
             many[:-1] |= follows[1:]
             first = ~follows
+            given = bool(follows[-1] or salt[-1] > 0) or (len(at) == 1 and held is not None and held[2])
             if held is not None:
                 first[0] = held[1]
                 many[0] &= not held[2]
-            given = bool(follows[-1]) or (len(at) == 1 and held is not None and held[2])
             rows = np.flatnonzero(many)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[rows].astype(np.int64)), pa.array(at[rows].astype(np.int32)), pa.array(first[rows])], ["doc_id", "at", "first"])
+                plain = ~(first & (salt > 0))[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows].astype(np.int64)), pa.array(at[rows].astype(np.int32)), pa.array(first[rows]), *(pa.array(c[rows], mask=plain) for c in cols[:-3])], ["doc_id", "at", "first", *by])
             held = [c[-1] for c in cols], bool(first[-1]), given
 
     return run
 
 
-def _windows(span: int, right: int):
-    """Rows (key, more, doc_id, at) of every window whose minimiser is marked; key and more are its name."""
+def _windows(span: int, right: int, salted=None):
+    """Rows (key, more, doc_id, at[, salt]) of every window whose minimiser is marked; key and more are its name."""
 
     def run(batches):
         for b in batches:
@@ -114,7 +145,8 @@ def _windows(span: int, right: int):
                 starts = starts[marked[at]]
                 doc = np.searchsorted(ends, starts, side="right")
                 more = block_names(mix(names + OTHER), starts, span) >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(block_names(names, starts, span).view(np.int64)), pa.array(more.astype(np.uint32).view(np.int32)), pa.array(docs[start + doc].astype(np.int64)), pa.array((starts - (ends - counts)[doc]).astype(np.int32))], ["key", "more", "doc_id", "at"])
+                out = pa.RecordBatch.from_arrays([pa.array(block_names(names, starts, span).view(np.int64)), pa.array(more.astype(np.uint32).view(np.int32)), pa.array(docs[start + doc].astype(np.int64)), pa.array((starts - (ends - counts)[doc]).astype(np.int32))], ["key", "more", "doc_id", "at"])
+                yield salted(out) if salted else out
 
     return run
 
@@ -157,13 +189,26 @@ def repeats(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> Da
         raise ValueError("8 <= right < span is needed")
     small_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
-    dealt = docs.mapInArrow(released(_suffixes(span, right)), "key long, doc_id long, at int").repartition("key").sortWithinPartitions("key", "doc_id", "at")
-    again = stored(dealt.mapInArrow(_met_again("key"), "doc_id long, at int, first boolean").select("doc_id", "at"), "suffixes")
+    share = min(SAMPLE_SHARE, SAMPLE_DOCUMENTS / max(1, docs.count()))
+
+    def sampled(df: DataFrame) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+    place, window = "key long, doc_id long, at int", "key long, more int, doc_id long, at int"
+    hot = _hot(sampled(docs).mapInArrow(released(_suffixes(span, right)), place), ["key"])
+    dealt = docs.mapInArrow(released(_suffixes(span, right, _salted(hot, ["key"]))), f"{place}, salt int").repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "at")
+    again = stored(dealt.mapInArrow(_met_again("key"), "doc_id long, at int, first boolean, key long").select("doc_id", "at"), "suffixes")
     marks = stored(again.groupBy("doc_id").agg(F.collect_list("at").alias("marks")), "marks")  # at most a document long
     rows = joined(docs, marks, "doc_id", 64, items="marks")
-    named = rows.mapInArrow(released(_windows(span, right)), "key long, more int, doc_id long, at int").repartition("key").sortWithinPartitions("key", "more", "doc_id", "at")
-    found = named.mapInArrow(_met_again("key", "more"), "doc_id long, at int, first boolean")
-    merged = found.repartition("doc_id").sortWithinPartitions("doc_id", "first", "at").mapInArrow(_merge(span), "doc_id long, start_word long, end_word long, kept boolean")
+    hot = _hot(joined(sampled(docs), marks, "doc_id", 64, items="marks").mapInArrow(released(_windows(span, right)), window), ["key", "more"])
+    named = rows.mapInArrow(released(_windows(span, right, _salted(hot, ["key", "more"]))), f"{window}, salt int").repartition("key", "salt").sortWithinPartitions("key", "more", "salt", "doc_id", "at")
+    found = named.mapInArrow(_met_again("key", "more"), "doc_id long, at int, first boolean, key long, more int")
+    if len(hot[0]):  # of the first places with each salt only one is the first
+        found = stored(found, "windows")
+        first = found.where("key is not null").groupBy("key", "more").agg(F.min(F.struct("doc_id", "at")).alias("least"))
+        found = joined(found, stored(first, "firsts"), ["key", "more"], 40, "left")
+        found = found.withColumn("first", F.col("first") & (F.col("least").isNull() | (F.struct("doc_id", "at") == F.col("least"))))
+    merged = found.select("doc_id", "at", "first").repartition("doc_id").sortWithinPartitions("doc_id", "first", "at").mapInArrow(_merge(span), "doc_id long, start_word long, end_word long, kept boolean")
     return merged.selectExpr("doc_id", "start_word", "end_word - start_word n_words", "kept")
 
 
