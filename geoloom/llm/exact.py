@@ -66,7 +66,7 @@ def _pairs(batches):
 
 
 def _name(batches):
-    """Number the distinct contents of a sorted partition, and set the number at each of their places."""
+    """Number the distinct contents of a sorted partition; their places stay folded."""
     part, rank, last = TaskContext.get().partitionId(), -1, None
     for b in batches:
         names = []
@@ -74,21 +74,20 @@ def _name(batches):
             if content != last or last is None:
                 rank, last = rank + 1, content
             names.append((part << 40) + rank)
-        places = b["places"]
-        flat, owner = places.flatten(), pa.compute.list_parent_indices(places).to_numpy()
-        yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in range(3)), pa.array(np.array(names, np.int64)[owner])], ["uid", "at", "of", "name"])
+        yield pa.RecordBatch.from_arrays([b["places"], pa.array(names, pa.int64())], ["places", "name"])
 
 
 def _named(contents: DataFrame) -> DataFrame:
+    """Rows (name, uid, at, of), stored folded: the places of one content are unfolded by whoever reads them."""
     dealt = contents.repartition("content").sortWithinPartitions("content")
-    return dealt.mapInArrow(_name, "uid long, at int, of int, name long")
+    return stored(dealt.mapInArrow(_name, f"places {_PLACES}, name long"), "names").select("name", F.inline("places"))
 
 
 def identities(rows: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """(uid, level, name) of rows (uid, text): equal exactly for rows whose normalised texts are equal."""
     small_batches(rows.sparkSession)
     level = 0
-    named = stored(_named(rows.select("uid", "text").mapInArrow(released(_blocks(block)), f"content binary, places {_PLACES}")), "names")
+    named = _named(rows.select("uid", "text").mapInArrow(released(_blocks(block)), f"content binary, places {_PLACES}"))
     out = named.where("of = 1").selectExpr("uid", "0 level", "name")
     most = named.agg(F.max("of")).first()[0] or 1
     named = named.where("of > 1")
@@ -96,7 +95,7 @@ def identities(rows: DataFrame, *, block: int = BLOCK) -> DataFrame:
         level, most = level + 1, -(-most // 2)
         halves = named.groupBy("uid", F.expr("cast(at div 2 as int)").alias("half"), "of").agg(F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"))
         halves = halves.selectExpr("uid", "half at", "cast(ceil(of / 2) as int) of", "l", "r")
-        named = stored(_named(halves.mapInArrow(_pairs, f"content binary, places {_PLACES}")), "names")
+        named = _named(halves.mapInArrow(_pairs, f"content binary, places {_PLACES}"))
         out = out.unionByName(named.where("of = 1").selectExpr("uid", f"{level} level", "name"))
         named = named.where("of > 1")
     return out
@@ -108,9 +107,12 @@ def groups(documents: DataFrame, *, block: int = BLOCK) -> DataFrame:
     names = identities(documents.select("uid", "text"), block=block)
     rows = names.join(ids, "uid")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
-    best = rows.groupBy("level", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-    found = rows.join(best, ["level", "name"])
-    return found.select("uid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
+    rows = stored(rows.select("level", "name", "uid", "doc_id"), "named")
+    best = rows.groupBy("level", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    # stored apart from the join, which may then split the rows of a frequent text
+    found = joined(rows, stored(best.select("level", "name", "best", "group_size"), "groups"), ["level", "name"], 64, "left")
+    alone = F.col("best").isNull()
+    return found.select("uid", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (alone | (F.col("uid") == F.col("best.uid"))).alias("kept"))
 
 
 def dedup(documents: DataFrame, *, block: int = BLOCK) -> DataFrame:
