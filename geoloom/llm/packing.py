@@ -10,7 +10,8 @@ end the remaining pieces are cut over again so that all but the last sequences a
 sequences whose sizes are powers of two, which need no padding. The same input split gives the same sequences again.
 
 Edge cases: null and empty texts are their end id alone; documents longer than a sequence fill whole sequences
-first; repeated rows are packed each; an item that bears no loss (loss_from past its end) only counts tokens and a
+first; repeated rows are packed each; a null doc_id is packed like any other and stays null; documents of equal length
+are packed in their order; an item that bears no loss (loss_from past its end) only counts tokens and a
 segment; an empty table gives an empty result; extra columns are ignored.
 """
 

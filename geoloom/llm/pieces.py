@@ -10,7 +10,7 @@ Texts are cut where no piece reaches across (before a space mark after another c
 kept in a bounded cache. Characters outside the vocabulary become their bytes' tokens. Runs of spaces, whose pieces
 all tie in score, are merged by rule: best score, then leftmost.
 
-Edge cases: null and empty text is begin and end id alone, and decodes to the empty text; repeated rows get equal
+Edge cases: a null doc_id stays null; null and empty text is begin and end id alone, and decodes to the empty text; repeated rows get equal
 values; a text of any length is encoded whole; an empty table gives an empty result; extra columns are ignored.
 """
 

@@ -248,9 +248,13 @@ def cut(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> DataFr
     """The documents without the passages that an earlier document (or place) has, with their own columns.
 
     The first occurrence of every repeated window of `span` words stays whole, also where a passage to be cut overlaps it.
-    An integer column n_chars is set to the new length; a document of which only white characters remain goes.
+    An integer column n_chars is set to the new length; a document of which only white characters remain goes. Rows that
+    have one doc_id and different texts stay whole, for ranges do not say whose words they count.
     """
     found = repeats(documents, span=span, right=right)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = documents.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a != b").select("doc_id")
+    found = found.join(several, "doc_id", "left_anti")
     name = "ranges"
     while name in (c.lower() for c in documents.columns):
         name += "_"

@@ -44,6 +44,13 @@ def test_frequent_passages_are_dealt_out(spark, monkeypatch):
     assert covered(substrings.repeats(df).collect()) == want
 
 
+def test_one_doc_id_with_several_texts_is_not_cut(spark):
+    shared, other = prose(62, 60), prose(63, 90)
+    data = [(1, f"{prose(64, 5)} {shared}"), (5, f"{prose(65, 9)} {shared}"), (5, other), (5, None), (7, f"{shared} {prose(66, 8)}"), (None, shared)]
+    left = sorted(((r.doc_id or 0, r.text or "") for r in substrings.cut(spark.createDataFrame(data, "doc_id long, text string")).collect()))
+    assert left == sorted(((d or 0, (t or "") if d != 7 else " " + prose(66, 8)) for d, t in data))
+
+
 def test_sources_of_near_copies_come_first(spark):
     """Copies with edits of their own, which are too far from each other: all are of the source's component."""
     r, source = random.Random(2), prose(70, 160).split()
