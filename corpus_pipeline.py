@@ -1,4 +1,11 @@
-"""A cleaning pipeline over documents: five stages, each written as Parquet and read again by the next."""
+"""A cleaning pipeline over documents: five stages, each written as Parquet and read again by the next.
+
+A null text is the empty text: the quality classifier decides on it as on any other, of several the one with the
+smallest doc_id stays, and near copies and passages do not concern it. A document of which cutting passages leaves only
+white characters goes. Rows without doc_id are no near copies and share no passages; they stay unless equal to another
+text. Of repeated rows one stays; rows that have one doc_id and different texts are not cut. Texts are read whole at any
+length, columns of any name come along up to the last stage, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
