@@ -337,7 +337,9 @@ def keep(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22)
     """One document of each component, that with the smallest doc_id, with its own columns.
 
     Documents without words are linked with nothing and all stay, as do rows without doc_id; of repeated rows with
-    one doc_id all that share the smallest stay (exact dedup is another operator).
+    one doc_id all that share the smallest stay (exact dedup is another operator), and rows that have one doc_id and
+    different texts go only if each of them would.
     """
-    gone = classes(documents, percent=percent, sketch_bits=sketch_bits).where("doc_id != component_id").select("doc_id").distinct()
+    stays = F.max(F.col("doc_id") == F.col("component_id"))
+    gone = classes(documents, percent=percent, sketch_bits=sketch_bits).where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id")
     return joined(documents, stored(gone, "copies"), "doc_id", 24, "left_anti")

@@ -70,6 +70,12 @@ def test_sources_of_near_copies_come_first(spark):
     assert got == best and len(links) > 60
 
 
+def test_one_doc_id_with_a_copy_and_another_text_stays(spark):
+    data = [(3, prose(67, 40)), (5, prose(67, 40) + " more"), (5, prose(68, 40)), (6, prose(67, 40) + " still more")]
+    left = sorted((r.doc_id, r.text) for r in jaccard.keep(spark.createDataFrame(data, "doc_id long, text string"), sketch_bits=16).collect())
+    assert left == sorted(data[:3])
+
+
 def test_every_link_between_different_texts(spark):
     source = prose(71, 80).split()
     texts = {i: " ".join(source[:k] + [f"w{i}"] + source[k + 1 :]) for i, k in enumerate((3, 9, 30, 31, 32, 60, 75))} | {20: " ".join(source), 21: " ".join(source), 22: prose(72, 50), 23: "", 24: None, 25: "two words", 26: "two words"}
