@@ -259,3 +259,43 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     data.where("1 = 0").write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_held_out_of_both_classifiers(spark):
+    """Labels of two thirds of the documents; accuracy on the others, and on misspelt words that no document had."""
+    data, labels = labelled(spark)
+    known = {r.doc_id: r for r in labels.where("doc_id < 600 and quality is not null").collect()}
+    odd = [(7000, "the quick brown moroniic fox jumps over stone bridges"), (7001, "dimmwit wizards mix potions"), (7002, "quiet foxes jump over vivid stones")]
+    more = data.unionByName(spark.createDataFrame([(i, t, *(None,) * 6) for i, t in odd], data.schema))
+    toxic = {r.doc_id: r for r in toxicity.score(more, labels).collect()}
+    held = [i for i in known if toxic[i].held_out]
+    assert len(held) > 150 and sum(toxic[i].predicted == known[i].toxic for i in held) >= 0.97 * len(held)
+    assert toxic[7002].predicted == 0 and min(toxic[7000].score, toxic[7001].score) > 10 * toxic[7002].score
+    some = labels.where("doc_id % 3 != 0")
+    kept = {r.doc_id: r.kept for r in quality.grade(data, some).collect()}
+    unseen = [i for i in known if i % 3 == 0]
+    assert sum(kept[i] == bool(known[i].quality) for i in unseen) >= 0.97 * len(unseen)
+
+
+def test_rows_of_pieces_and_media(spark):
+    import hashlib
+
+    import sentencepiece
+
+    from geoloom.llm import jpeg, pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.createDataFrame([r[:2] for r in rows()], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.transcode(docs, path).collect()))
+    want = []
+    for d, t, *_ in rows():
+        ids = model.encode(t or "", add_bos=True, add_eos=True)
+        want.append((d if d is not None else -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()))
+    assert got == sorted(want)
+    none = docs.where("1 = 0")
+    assert pieces.transcode(none, path).count() == jpeg.media(none).count() == packing.pack(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    for r in jpeg.media(docs, with_media=True).collect():
+        image = jpeg.Image(r.media)
+        assert hashlib.sha256(r.media).hexdigest() == r.media_sha256 and jpeg.features(np.frombuffer(r.rgb, np.uint8).reshape(image.height, image.width, 3)) == r.feature
+        assert (np.frombuffer(r.rgb, np.uint8) == image.rgb().ravel()).all() and hashlib.sha256(jpeg.restore(image)).hexdigest() == r.payload_sha256
