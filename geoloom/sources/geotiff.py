@@ -195,6 +195,7 @@ class GeoTiff:
 def encode(bands: np.ndarray, grid: Grid, names: list[str] | None = None, nodata: float | None = None, epsg: int | None = None, compression: int = LZW, tile: int = 256, big: bool = False) -> bytes:
     """A tiled GeoTIFF of an array (bands, rows, columns), planes apart, little-endian."""
     count, height, width = bands.shape
+    tile = min(tile, -(-max(height, width) // 16) * 16)  # a multiple of 16, no larger than need be
     kind = bands.dtype.newbyteorder("<")
     blocks = []
     for plane in bands:
@@ -311,11 +312,41 @@ def tiles(raster: DataFrame, grid: Grid, bands: list[str], size: int = 1024, nod
     return inside.groupBy(F.expr(f"row div {size}").alias("_r"), F.expr(f"col div {size}").alias("_c")).applyInPandas(make, "name string, content binary")
 
 
+#: Stores that Arrow's own file systems reach from the executors.
+ARROW_STORES = ("file", "s3", "gs")
+
+
 def save(files: DataFrame, path: str) -> int:
-    """Write rows (name, content) as files of a folder in any store; they pass the driver one after another."""
+    """Write rows (name, content) as files of a folder, and give their number.
+
+    In stores that Arrow reaches, each task writes its own files: under a name of their own first and then moved, so a
+    task that is run again replaces them whole. In any other store they pass the driver one after another.
+    """
     spark, n = files.sparkSession, 0
+    rows = files.select("name", "content")
+    scheme = path.split("://")[0].split(":")[0] if ":" in path else ""
+    if scheme in ARROW_STORES:
+
+        def write(batches):
+            import uuid
+
+            from pyarrow.fs import FileSystem
+
+            store, folder = FileSystem.from_uri(path if "://" in path else path.replace(":", "://", 1))
+            store.create_dir(folder, recursive=True)
+            count = 0
+            for b in batches:
+                for name, content in zip(b["name"].to_pylist(), b["content"]):
+                    own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(own) as out:
+                        out.write(content.as_buffer())
+                    store.move(own, f"{folder}/{name}")
+                    count += 1
+            yield pa.RecordBatch.from_arrays([pa.array([count])], ["count"])
+
+        return rows.mapInArrow(write, "count long").agg(F.sum("count")).first()[0] or 0
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for r in files.select("name", "content").toLocalIterator():
+    for r in rows.toLocalIterator():
         target = hadoop(f"{path.rstrip('/')}/{r.name}")
         stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
         try:
