@@ -64,8 +64,50 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_packing, op4_sentencepiece, op5_suffix_array, op6_wavelet, op7_exact_dedup, op8_media, op9_chat, op10_quality)}
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows (doc_id, w): the words of every text.
+_WORDS = rf"(SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents)"
+_ESCAPED = "|".join(["\\\\", *(c.replace("[", "\\[").replace("]", "\\]") for c in chat.CONTROLS)])
+
+
+def _escaped(column: str) -> str:
+    return rf"regexp_replace({column}, '({_ESCAPED})', '\\\1', 'g')"
+
+
 #: What SQL can express; the other queries are held against brute force in tests/llm.
 ORACLE_SQL = {
+    "op2_ngram_jaccard": rf"""
+        WITH RECURSIVE s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM {_WORDS}),
+        g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n + b.n) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs WHERE 100 * i >= 75 * (n - i)),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT s.doc_id, any_value(len(s.s))::BIGINT AS n_shingles, least(s.doc_id, min(reach.b)) AS component_id
+        FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id
+    """,
+    "op5_suffix_array": rf"""
+        WITH h AS (SELECT doc_id, list_transform(range(0, len(w) - 49), lambda i: md5(array_to_string(w[i + 1:i + 50], ' '))) AS h FROM {_WORDS} WHERE len(w) >= 50),
+        places AS (SELECT doc_id, unnest(h) AS h, unnest(range(len(h))) AS pos FROM h),
+        met AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) = 1 AS kept FROM places QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        heads AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, kept ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS head FROM met),
+        runs AS (SELECT *, sum(head) OVER (PARTITION BY doc_id, kept ORDER BY pos) AS run FROM heads)
+        SELECT doc_id, min(pos) AS start_word, max(pos) + 50 - min(pos) AS n_words, kept FROM runs GROUP BY doc_id, kept, run
+    """,
+    "op9_chat": rf"""
+        WITH turns AS (
+            SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        coded AS (SELECT *, {_escaped("text")} AS body, {_escaped("role")} AS who FROM turns),
+        outputs AS (SELECT *, CASE role WHEN 'user' THEN '[INST] ' || body || ' [/INST]' WHEN 'assistant' THEN ' ' || body || '</s>'
+                                        ELSE '[ROLE]' || who || '[/ROLE][TURN]' || body || '[/TURN]' END AS output FROM coded)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, output)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, output) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               (3 + sum(length(output)))::BIGINT AS formatted_chars
+        FROM outputs GROUP BY conv_id
+    """,
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
