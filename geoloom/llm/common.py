@@ -61,7 +61,7 @@ def held(key: str, make: Callable):
 
 
 def _give_back() -> None:
-    """Freed memory goes back to the system: neither idle nor busy workers hold what they do not need."""
+    """Freed memory goes back to the system: idle workers hold none of it."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -69,15 +69,12 @@ def _give_back() -> None:
 
 def released(run, holds: str | None = None):
     """The function of a task, which starts without the objects that other operators' tasks held, but for its own of
-    key `holds`, and gives freed memory back after each batch."""
+    key `holds`, and gives freed memory back at its end."""
 
     def task(batches):
         if holds not in _held:
             _held.clear()
-        for out in run(batches):
-            yield out
-            del out
-            _give_back()
+        yield from run(batches)
         _give_back()
 
     return task

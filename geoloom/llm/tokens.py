@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from .common import held
 
 #: What a worker's cache may hold, in bytes.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 12 << 20
 #: Longer pieces are encoded anew in each batch.
 LONGEST_KEPT = 64
 #: Pieces that are encoded as one text, the library's cost being by the call.
