@@ -59,21 +59,27 @@ def degree_counts(coefficients: np.ndarray, variables: int, degree: int) -> list
 
 
 def lasso(a: np.ndarray, values: np.ndarray, penalty: float, start: np.ndarray | None = None, sweeps: int = 4096) -> np.ndarray:
-    """Coordinate descent for |values - a w|^2 / 2n + penalty |w|, of centred columns and values."""
-    w = np.zeros(a.shape[1]) if start is None else start.copy()
-    size, left = (a * a).sum(0), values - a @ w
+    """Coordinate descent for |values - a w|^2 / 2n + penalty |w|, of centred columns and values.
+
+    The columns are few: it goes on products of columns, as plain numbers.
+    """
+    products, bound = (a.T @ a).tolist(), penalty * len(values)
+    w = [0.0] * a.shape[1] if start is None else start.tolist()
+    pulls = (a.T @ (values - a @ np.array(w))).tolist()
+    active = [j for j in range(len(w)) if products[j][j] > 0]
     for _ in range(sweeps):
         moved = 0.0
-        for j in np.flatnonzero(size):
-            old = w[j]
-            pull = a[:, j] @ left + size[j] * old
-            w[j] = np.sign(pull) * max(abs(pull) - penalty * len(values), 0) / size[j]
-            if w[j] != old:
-                left += a[:, j] * (old - w[j])
-                moved = max(moved, abs(w[j] - old))
-        if moved <= 1e-4 * max(np.abs(w).max(), 1e-12):
+        for j in active:
+            row, old = products[j], w[j]
+            pull = pulls[j] + row[j] * old
+            new = (pull - bound) / row[j] if pull > bound else (pull + bound) / row[j] if pull < -bound else 0.0
+            if new != old:
+                step = new - old
+                w[j], moved = new, max(moved, abs(step))
+                pulls = [p - g * step for p, g in zip(pulls, row)]
+        if moved <= 1e-4 * max(1e-12, *map(abs, w)):
             break
-    return w
+    return np.array(w)
 
 
 def lasso_terms(a: np.ndarray, values: np.ndarray, most: int) -> np.ndarray:
