@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -30,5 +30,6 @@ def components(links: DataFrame) -> DataFrame:
         star = both.join(low, "u").where("v > u").selectExpr("v u", "m v").where("u != v").distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         star = star.join(low, "u")
-        edges = stored(star.selectExpr("u", "m v").union(star.where("v != m").selectExpr("v u", "m v")).where("u != v").distinct(), "stars")
+        before, edges = edges, stored(star.selectExpr("u", "m v").union(star.where("v != m").selectExpr("v u", "m v")).where("u != v").distinct(), "stars")
+        discard(before)
     return edges.selectExpr("u node", "v component").union(edges.selectExpr("v node", "v component").distinct())

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import hash_words, joined, mix, released, small_batches, stored, texts_of, word_spans
+from .common import discard, hash_words, joined, mix, released, small_batches, stored, texts_of, word_spans
 
 SPAN, RIGHT, GRAM = 50, 35, 8
 #: Names that HITS documents have of a sample (this share of all, and at most so many) are dealt out over SALTS parts.
@@ -199,6 +199,7 @@ def repeats(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> Da
     dealt = docs.mapInArrow(released(_suffixes(span, right, _salted(hot, ["key"]))), f"{place}, salt int").repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "at")
     again = stored(dealt.mapInArrow(_met_again("key"), "doc_id long, at int, first boolean, key long").select("doc_id", "at"), "suffixes")
     marks = stored(again.groupBy("doc_id").agg(F.collect_list("at").alias("marks")), "marks")  # at most a document long
+    discard(again)
     rows = joined(docs, marks, "doc_id", 64, items="marks")
     hot = _hot(joined(sampled(docs), marks, "doc_id", 64, items="marks").mapInArrow(released(_windows(span, right)), window), ["key", "more"])
     named = rows.mapInArrow(released(_windows(span, right, _salted(hot, ["key", "more"]))), f"{window}, salt int").repartition("key", "salt").sortWithinPartitions("key", "more", "salt", "doc_id", "at")
