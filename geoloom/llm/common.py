@@ -32,6 +32,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4MB")
 
 
+def typed(documents: DataFrame, *more) -> DataFrame:
+    """doc_id as a 64-bit integer, text as a string, and other columns."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
 def portions(batch: pa.RecordBatch, size: int):
     """Parts of a batch of about so many bytes, a row at least."""
     step = max(1, len(batch) // max(1, -(-batch.nbytes // size)))

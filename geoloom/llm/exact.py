@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, released, small_batches, stored, texts_of
+from .common import joined, released, small_batches, stored, texts_of, typed
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 BLOCK = 1 << 14
@@ -124,7 +124,7 @@ def dedup(documents: DataFrame, *, block: int = BLOCK) -> DataFrame:
             out = [hashlib.sha256(normalised(t).encode("utf-8", "surrogatepass")).hexdigest() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["uid"], b["doc_id"], pa.array(out)], ["uid", "doc_id", "text_sha256"])
 
-    rows = with_uid(documents.select("doc_id", "text"))
+    rows = with_uid(typed(documents))
     digests = rows.mapInArrow(released(digest), "uid long, doc_id long, text_sha256 string")
     return groups(rows, block=block).join(digests.select("uid", "text_sha256"), "uid").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, joined, mix, released, shingle_sets, small_batches, stored, texts_of
+from .common import discard, joined, mix, released, shingle_sets, small_batches, stored, texts_of, typed
 from .components import components
 
 BLOCK_BITS = 16
@@ -232,7 +232,7 @@ def _verify(documents: DataFrame, pairs: DataFrame, owners: DataFrame, percent:
     """
     wanted = pairs.selectExpr("a name").union(pairs.selectExpr("b name")).distinct()
     wanted = stored(owners.join(wanted, "name", "left_semi"), "wanted")
-    rows = joined(documents.select("doc_id", "text"), wanted, "doc_id", 24)
+    rows = joined(typed(documents), wanted, "doc_id", 24)
 
     def sets(batches):
         for b in batches:
@@ -286,7 +286,7 @@ def _candidates(rows: DataFrame, names: DataFrame, percent: int, apart: str) ->
 
 def links(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: int = 22) -> tuple[DataFrame, DataFrame]:
     """(survey, graph): rows (doc_id, n, name) of all documents, and (node, component) of set names that have links."""
-    docs = documents.select("doc_id", "text")
+    docs = typed(documents)
     survey, names, runs = _indexed(docs, percent, sketch_bits)
     owners = names.select("name", "doc_id")
     pairs = runs.selectExpr("least(name, first) a", "greatest(name, first) b").union(runs.selectExpr("least(name, before) a", "greatest(name, before) b")).where("a is not null and a != b")
@@ -313,7 +313,7 @@ def linked_pairs(documents: DataFrame, *, percent: int = PERCENT, sketch_bits: i
     The join itself, for whoever needs each link: among n texts that are all near copies of each other there are
     n (n - 1) / 2. `classes` finds which documents belong together without making them all.
     """
-    docs = documents.select("doc_id", "text")
+    docs = typed(documents)
     survey, names, runs = _indexed(docs, percent, sketch_bits)
     rest, found = _candidates(runs.select("token", "name", "n", "at"), names, percent, "x.name < y.name")
     found = stored(found, "pairs")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, small_batches
+from .common import released, small_batches, typed
 from .tokens import encoder, with_end
 
 
@@ -135,7 +135,7 @@ def pack(documents: DataFrame, path: str, *, limits: Limits = Limits(), end: int
     """
     small_batches(documents.sparkSession)
     marked = F.lit(0).cast("long") if loss_from is None else F.coalesce(F.col(f"`{loss_from}`").cast("long"), F.lit(0))
-    rows = documents.select("doc_id", "text", marked.alias("loss_from"))
+    rows = typed(documents, marked.alias("loss_from"))
 
     def run(batches):
         make, packer = encoder(path), Packer(limits)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import held, released, small_batches, texts_of
+from .common import held, released, small_batches, texts_of, typed
 from .tokens import PieceCache, joined_ids
 
 MARK = "▁"
@@ -241,4 +241,4 @@ def transcode(documents: DataFrame, path: str, *, with_ids: bool = False) -> Dat
                 arrays += [pa.array([ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())], pa.list_(pa.int32())), pa.array([t.decode("utf-8", "replace") for t in texts])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids)
 
-    return documents.select("doc_id", "text").mapInArrow(released(run, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
+    return typed(documents).mapInArrow(released(run, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, released, small_batches, texts_of
+from .common import held, released, small_batches, texts_of, typed
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 12
 BUCKETS = WORD_BUCKETS + 2 * SHAPE_BUCKETS
@@ -132,7 +132,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, label: str = "quality", samp
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 5 * sample rows at most
+    rows = typed(documents).join(F.broadcast(picked), "doc_id")  # 5 * sample rows at most
 
     def extract(batches):
         make = Features()
@@ -180,7 +180,7 @@ def grade(documents: DataFrame, labels: DataFrame, *, label: str = "quality", ta
             expected, tail = scores(b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(expected), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return documents.select("doc_id", "text").mapInArrow(released(run, "quality"), "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return typed(documents).mapInArrow(released(run, "quality"), "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def keep(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import discard, hash_words, joined, mix, released, small_batches, stored, texts_of, word_spans
+from .common import discard, hash_words, joined, mix, released, small_batches, stored, texts_of, typed, word_spans
 
 SPAN, RIGHT, GRAM = 50, 35, 8
 #: Names that HITS documents have of a sample (this share of all, and at most so many) are dealt out over SALTS parts.
@@ -188,7 +188,7 @@ def repeats(documents: DataFrame, *, span: int = SPAN, right: int = RIGHT) -> Da
     if not GRAM <= right < span:
         raise ValueError("8 <= right < span is needed")
     small_batches(documents.sparkSession)
-    docs = documents.select("doc_id", "text")
+    docs = typed(documents)
     share = min(SAMPLE_SHARE, SAMPLE_DOCUMENTS / max(1, docs.count()))
 
     def sampled(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, texts_of
+from .common import released, small_batches, texts_of, typed
 
 WORD = re.compile(r"\w+")
 WINDOW = 2
@@ -220,7 +220,7 @@ def sample_words(documents: DataFrame, labelled: DataFrame, label: str, per_labe
     known = labelled.select("doc_id", F.col(label).cast("int").alias("mark")).dropna().groupBy("doc_id").agg(F.max("mark").alias("mark"))
     picked = [known.where(f"mark {'>' if m else '<='} 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for m in (0, 1)]
     picked = picked[0].unionByName(picked[1])
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * per_label rows at most
+    rows = typed(documents).join(F.broadcast(picked), "doc_id")  # 2 * per_label rows at most
 
     def cut(batches):
         for b in batches:
@@ -253,5 +253,5 @@ def score(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", thre
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(scorer.scores(texts_of(b["text"])))], ["doc_id", "held_out", "score"])
 
-    scored = documents.select("doc_id", "text", out_of.alias("held_out")).mapInArrow(released(run), "doc_id long, held_out boolean, score double")
+    scored = typed(documents, out_of.alias("held_out")).mapInArrow(released(run), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

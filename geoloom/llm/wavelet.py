@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, stored
+from .common import released, small_batches, stored, typed
 from .tokens import encoder, with_end
 
 MAGIC = b"WVM2"
@@ -193,7 +193,7 @@ def write(documents: DataFrame, path: str, *, end: int = 2, shard_tokens: int =
         if docs:
             yield shard()
 
-    rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = typed(documents).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(rows.mapInArrow(released(run, path), "part int, seq int, n_tokens long, shard binary"), "shards")
 
 

@@ -299,3 +299,16 @@ def test_rows_of_pieces_and_media(spark):
         image = jpeg.Image(r.media)
         assert hashlib.sha256(r.media).hexdigest() == r.media_sha256 and jpeg.features(np.frombuffer(r.rgb, np.uint8).reshape(image.height, image.width, 3)) == r.feature
         assert (np.frombuffer(r.rgb, np.uint8) == image.rgb().ravel()).all() and hashlib.sha256(jpeg.restore(image)).hexdigest() == r.payload_sha256
+
+
+def test_short_integers_as_ids(spark):
+    """doc_id as a 32-bit integer gives what a 64-bit one gives."""
+    from geoloom.llm import exact, jpeg, pieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    long = spark.createDataFrame([(i, t) for i, t, *_ in rows()[:12]], "doc_id long, text string")
+    short = long.selectExpr("cast(doc_id as int) doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id int, quality int, toxic int")
+    for op in (exact.dedup, lambda d: jaccard.classes(d, sketch_bits=16), substrings.repeats, jpeg.media, lambda d: packing.pack(d.coalesce(1), path), lambda d: pieces.transcode(d, public_tokenizers.path("piece_bpe_32k.model")), lambda d: wavelet.read(wavelet.write(d, path)), lambda d: toxicity.score(d, labels), lambda d: quality.grade(d, labels)):
+        a, b = op(long), op(short)
+        assert a.schema == b.schema and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
