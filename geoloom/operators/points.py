@@ -175,3 +175,8 @@ def feasible_regions(train: DataFrame, evaluation: DataFrame, group: list[str],
     if validation is not None:
         out = out.join(counted(validation, "n_validation"), group)
     return out if parameters is None else out.where(F.least("n_train", "n_evaluation") >= parameters)
+
+
+def preview(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """The first rows in an order: a look at a table, by a bounded heap in each task."""
+    return df.orderBy(*order).limit(n)

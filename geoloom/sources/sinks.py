@@ -94,3 +94,9 @@ def write_raster(raster: DataFrame, grid, bands: list[str], path: str, form: str
         raster.select("row", "col", *bands).write.mode("overwrite").parquet(path)
     else:
         raise ValueError(f"unknown format {form}")
+
+
+def write_vertices(shapes: DataFrame, path: str, digits: int = 9) -> None:
+    """x and y of the vertices of shapes, in their order within each part, under a header."""
+    ordered = shapes.repartition("file", "record").sortWithinPartitions("file", "record", "part", "place")
+    write_predictions(ordered.select(F.col("px").alias("x"), F.col("py").alias("y")), path, digits, header=True)

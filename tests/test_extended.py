@@ -239,6 +239,10 @@ def test_sinks(spark):
     df = spark.createDataFrame([(1.0, 2.0, 0.5, 7)], "x double, y double, delta double, tile int")
     sinks.write_residuals(df, f"{base}/r")
     assert spark.read.text(f"{base}/r").first()[0] == "1.000000000,2.000000000,0.500000000"
+    shapes = spark.createDataFrame([("f", 1, 0, k, float(k), -float(k)) for k in range(5)], "file string, record int, part int, place int, px double, py double")
+    sinks.write_vertices(shapes, f"{base}/v", 1)
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{base}/v").collect()][:2] == [("0.0", "-0.0"), ("1.0", "-1.0")]
+    assert [r.place for r in points.preview(shapes, ["px"]).collect()] == [0, 1, 2]
     sinks.write_tiles(df, f"{base}/t", ["tile"])
     assert spark.read.option("header", True).csv(f"{base}/t").first().tile == 7
     sinks.write_manifest(spark, f"{base}/m", {"year": 2001}, spark.createDataFrame([("CEC", "6.2.10")], "reg_type string, region string"))
