@@ -37,6 +37,8 @@ from .common import discard, joined, mix, released, shingle_sets, small_batches,
 from .components import components
 
 BLOCK_BITS = 16
+#: Pairs of one set that are verified in one part, and parts at most.
+OFTEN, MOST_PARTS = 128, 4096
 #: Parts that the n-grams are divided into by their names, for the suffix filter before pairs are made: in at least as
 #: many parts as have different parities, the sets differ by an n-gram.
 PARTS = 256
@@ -228,20 +230,27 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 def _verify(documents: DataFrame, pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     """Those of the stored pairs (a, b) of set names that reach the similarity, from the whole texts.
 
-    owners: (name, doc_id), one document for each name.
+    owners: (name, doc_id), one document for each name. A set of many pairs, as the source of many copies is, goes in
+    copies to as many parts of them, so that no task has them all.
     """
-    wanted = pairs.selectExpr("a name").union(pairs.selectExpr("b name")).distinct()
-    wanted = stored(owners.join(wanted, "name", "left_semi"), "wanted")
-    rows = joined(typed(documents), wanted, "doc_id", 24)
+    ends = pairs.selectExpr("a name").union(pairs.selectExpr("b name")).groupBy("name").agg(F.least(F.ceil(F.count("*") / OFTEN), F.lit(MOST_PARTS)).cast("int").alias("parts"))
+    wanted = stored(owners.join(ends, "name"), "wanted")
+    rows = joined(typed(documents), wanted, "doc_id", 28)
+    many = wanted.where("parts > 1").select("name", "parts")
+    for end in ("a", "b"):
+        pairs = joined(pairs, many.withColumnsRenamed({"name": end, "parts": f"of_{end}"}), end, 24, "left")
+    part = lambda end, other: F.pmod(F.xxhash64(other), F.coalesce(f"of_{end}", F.lit(1))).cast("int").alias(f"part_{end}")
+    pairs = pairs.select("a", "b", part("a", "b"), part("b", "a"))
 
     def sets(batches):
         for b in batches:
             found = list(shingle_sets(texts_of(b["text"])))
             own = pa.array([set_name(s) == n for s, n in zip(found, b["name"].to_pylist())], pa.bool_())  # a repeated doc_id may bring another text
-            yield pa.RecordBatch.from_arrays([b["name"], pa.array([s.tobytes() for s in found], pa.binary())], ["name", "items"]).filter(own)
+            yield pa.RecordBatch.from_arrays([b["name"], pa.array([s.tobytes() for s in found], pa.binary())], ["name", "items"]).append_column("parts", b["parts"]).filter(own)
 
-    # not stored: one shuffle by name serves both joins
-    found = rows.mapInArrow(released(sets), "name long, items binary").dropDuplicates(["name"])
+    # not stored: one shuffle by name and part serves both joins
+    found = rows.mapInArrow(released(sets), "name long, items binary, parts int")
+    found = found.select("name", "items", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).dropDuplicates(["name", "part"])
 
     def check(batches):
         for b in batches:
@@ -249,7 +258,7 @@ def _verify(documents: DataFrame, pairs: DataFrame, owners: DataFrame, percent:
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], ["a", "b"])
 
-    both = pairs.join(found.selectExpr("name a", "items x"), "a").join(found.selectExpr("name b", "items y"), "b")
+    both = pairs.join(found.selectExpr("name a", "part part_a", "items x"), ["a", "part_a"]).join(found.selectExpr("name b", "part part_b", "items y"), ["b", "part_b"])
     out = stored(both.select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long"), "links")
     discard(wanted)
     return out

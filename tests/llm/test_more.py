@@ -51,8 +51,11 @@ def test_one_doc_id_with_several_texts_is_not_cut(spark):
     assert left == sorted(((d or 0, (t or "") if d != 7 else " " + prose(66, 8)) for d, t in data))
 
 
-def test_sources_of_near_copies_come_first(spark):
-    """Copies with edits of their own, which are too far from each other: all are of the source's component."""
+@pytest.mark.parametrize("often", [128, 3])
+def test_sources_of_near_copies_come_first(spark, monkeypatch, often):
+    """Copies with edits of their own, which are too far from each other: all are of the source's component, also where
+    the source's pairs are verified in many parts."""
+    monkeypatch.setattr(jaccard, "OFTEN", often)
     r, source = random.Random(2), prose(70, 160).split()
     texts = {500: " ".join(source)}
     for d in range(60):
