@@ -5,14 +5,22 @@ Every task writes its own file. NaN and null are written alike.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def fixed(value: Column, digits: int, missing: str = "NA") -> Column:
-    """A number as text with as many decimals."""
-    value = value.cast("double")
-    return F.when(value.isNull() | F.isnan(value), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", value))
+    """A number as text with as many decimals, as C prints it: of the exact binary value, a tie to the even digit.
+
+    Java's formats round the shortest text of the number, and ties away from zero.
+    """
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return pd.Series([missing if v != v else f"{v:.{digits}f}" for v in values.tolist()], dtype=object)
+
+    return text(value.cast("double"))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, missing: str = "", mode: str = "overwrite") -> None:

@@ -75,6 +75,16 @@ def test_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "m")).collect()] == ["0.25,a/b"] * 2
 
 
+def test_fixed_prints_ties_and_long_numbers_as_sql_does(spark):
+    import duckdb
+
+    numbers = [k / 1024 for k in range(-15, 16, 2)] + [1.5e-9, 0.9999999995, -0.0, 1e9 / 7, 1e15 / 7]
+    got = spark.createDataFrame([(v,) for v in numbers], "v double").select("v", sinks.fixed(F.col("v"), 9).alias("text")).collect()
+    assert {r.v: r.text for r in got} == {v: duckdb.execute("SELECT printf('%.9f', ?::DOUBLE)", [v]).fetchone()[0] for v in numbers}
+    both = spark.createDataFrame([(float("nan"),), (None,)], "v double").select(sinks.fixed(F.col("v"), 1, "-"))
+    assert [r[0] for r in both.collect()] == ["-", "-"]
+
+
 def test_config(spark):
     settings = {"Job": {"YEAR": 2010, "regions": [("CEC", "8.5.1")], "name": "first try"}}
     assert config.read_config(config.write_config(settings)) == settings
