@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -160,27 +161,39 @@ def _shape(model: str, gap: np.ndarray, reach: float) -> np.ndarray:
     return 1 - np.exp(-3 * t) if model == "exponential" else 1 - np.exp(-3 * t**2)
 
 
-def fit_variogram(binned: DataFrame, width: float, model: str = "spherical", steps: int = 200) -> dict[str, float]:
+def _reaches(bins: list[int], width: float, steps: int) -> tuple[list[float], list[float]]:
+    """Middles of bins, and ranges up to twice the largest, of the width as it is written: 0.05 is 1/20."""
+    mids = [(2 * b + 1) * Fraction(str(width)) / 2 for b in bins]
+    return [float(m) for m in mids], [float(2 * max(mids) * i) / steps for i in range(1, steps + 1)]
+
+
+def fit_variogram(binned: DataFrame, width: float, model: str = "spherical", steps: int = 200) -> dict[str, float] | None:
     """Nugget, partial sill and range that fit the rows of `variogram` best, weighted by their pairs.
 
     For each of `steps` ranges up to twice the largest distance, nugget and sill are the solution of least squares,
-    neither negative; of ranges that fit equally well (to a millionth) the shortest. The rows are as many as there are bins.
+    neither negative; of ranges that fit equally well (to a millionth) the shortest. Ranges within which no distances
+    differ tell nugget and sill apart by nothing and are left out; None if all are. The rows are as many as there are bins.
     """
     if model not in ("spherical", "exponential", "gaussian"):
         raise ValueError(f"unknown model {model}")
     rows = binned.orderBy("bin").collect()
     if not rows:
-        raise ValueError("no pairs")
-    gap, gamma, weight = (np.array(c, float) for c in zip(*(((r["bin"] + 0.5) * width, r["gamma"], r["n"]) for r in rows)))
-    root, tried = np.sqrt(weight), []
-    for reach in np.linspace(2 * gap.max() / steps, 2 * gap.max(), steps):
-        f = _shape(model, gap, reach)
-        nugget, sill = np.linalg.lstsq(np.stack([root, root * f], 1), root * gamma, rcond=None)[0]
+        return None
+    gamma, weight = (np.array([r[c] for r in rows], float) for c in ("gamma", "n"))
+    gap, reaches = _reaches([r["bin"] for r in rows], width, steps)
+    tried = []
+    for reach in reaches:
+        f = _shape(model, np.array(gap), reach)
+        sw, sf, sff, sg, sfg = (float((weight * v).sum()) for v in (np.ones(len(f)), f, f * f, gamma, f * gamma))
+        apart = sw * sff - sf * sf
+        if apart <= 1e-9 * sw * sff:
+            continue
+        nugget, sill = (sff * sg - sf * sfg) / apart, (sw * sfg - sf * sg) / apart
         if nugget < 0:
-            nugget, sill = 0.0, (weight * f * gamma).sum() / (weight * f * f).sum()
+            nugget, sill = 0.0, sfg / sff
         elif sill < 0:
-            nugget, sill = (weight * gamma).sum() / weight.sum(), 0.0
+            nugget, sill = sg / sw, 0.0
         error = (weight * (nugget + sill * f - gamma) ** 2).sum() / weight.sum()
-        tried.append({"nugget": float(nugget), "sill": float(sill), "range": float(reach), "error": float(error)})
-    least = min(t["error"] for t in tried)
-    return next(t for t in tried if t["error"] <= least * (1 + 1e-6))
+        tried.append({"nugget": float(nugget), "sill": float(sill), "range": reach, "error": float(error)})
+    least = min((t["error"] for t in tried), default=None)
+    return next((t for t in tried if t["error"] <= least * (1 + 1e-6)), None)

@@ -108,6 +108,37 @@ def test_variogram_model_is_found_again(spark):
     assert abs(fit["nugget"] - 0.2) < 0.02 and abs(fit["sill"] - 0.7) < 0.02 and abs(fit["range"] - 1.2) < 0.03
 
 
+@pytest.mark.parametrize("kind", ["falling", "rising", "one bin", "no pairs"])
+def test_variogram_model_is_that_of_its_sql(spark, tmp_path, kind):
+    import duckdb
+
+    from geoloom.plans.extended import ORACLE_SQL, QUERIES
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 0.1, (200, 2)) if kind in ("falling", "rising") else np.array([[0.0, 0.0], [0.01, 0.0]] if kind == "one bin" else [[0.0, 0.0]])
+    label = np.arange(len(x)) % 10 if kind != "rising" else np.digitize(x[:, 0], [-0.1, 0, 0.1])
+    if kind == "falling":  # close pairs differ most
+        x = np.repeat(x[::2], 2, 0) + np.tile([[0.0, 0.0], [0.01, 0.0]], (100, 1))
+        label = np.arange(200) % 2 * 9
+    table = [(i, [float(a), float(b), 0.0, 0.0, 0.0], int(c)) for i, ((a, b), c) in enumerate(zip(x, label))]
+    spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["variogram_fit"]).fetchall()
+    assert [tuple(r) for r in QUERIES["variogram_fit"](spark, str(tmp_path)).collect()] == want and len(want) == (kind in ("falling", "rising"))
+
+
+def test_variogram_ranges_round_as_in_sql(spark):
+    import duckdb
+
+    from geoloom.plans.extended import _rounded
+
+    for b in range(6):
+        want = duckdb.sql(f"SELECT round(2 * gap * (i + 1) / 200, 4) FROM (SELECT ({b}::BIGINT + 0.5) * 0.05 AS gap), range(200) t(i) ORDER BY i").fetchall()
+        reaches = stats._reaches([b], 0.05, 200)[1]
+        assert spark.createDataFrame([(r,) for r in reaches], "r double").coalesce(1).select(_rounded("r", 4)).collect() == want
+
+
 def test_stream_equals_the_stored_table(spark, tmp_path):
     df = spark.range(500).selectExpr("id % 3 k", "timestamp'2020-01-01' + make_interval(0,0,0,0,id) ts", "cast(id % 7 as double) v")
     df.repartition(6).write.parquet(str(tmp_path / "in"))
