@@ -1,7 +1,7 @@
 """Local polynomial regression over neighbourhoods.
 
-Evaluation points that share their k nearest training rows share one model: the neighbourhood's sorted ids are the
-grouping key, its rows go along once per group, and each distinct neighbourhood is fitted once in `applyInPandas`.
+Evaluation points that share their k nearest training rows share one model: the neighbourhood's sorted ids name it, its
+rows go along once, and each distinct neighbourhood is fitted once in `applyInPandas`, with the others of its part.
 The degree is the one of least summed error over folds, the lower of equal sums; with one fold a point (the default)
 the choice does not depend on any shuffle.
 
@@ -32,6 +32,10 @@ SCHEMA = "eid long, sm double, degree int"
 PENALTIES = np.geomspace(1.0, 2.0**-9, 28)
 #: Neighbourhoods that are fitted at once.
 TOGETHER = 256
+#: Neighbourhoods of one part of a shuffle, and ids that those list for each of their rows.
+PART, LISTED = 1024, 1 << 17
+#: Sweeps of coordinate descent at one penalty at most, and problems of the lasso that are solved one by one.
+SWEEPS, ALONE = 4096, 8
 #: Training rows up to which the global form may list its neighbours.
 FEW = 2000
 
@@ -58,7 +62,7 @@ def degree_counts(coefficients: np.ndarray, variables: int, degree: int) -> list
     return [int(np.count_nonzero(coefficients[a:b])) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def lasso(a: np.ndarray, values: np.ndarray, penalty: float, start: np.ndarray | None = None, sweeps: int = 4096) -> np.ndarray:
+def lasso(a: np.ndarray, values: np.ndarray, penalty: float, start: np.ndarray | None = None, sweeps: int = SWEEPS) -> np.ndarray:
     """Coordinate descent for |values - a w|^2 / 2n + penalty |w|, of centred columns and values.
 
     The columns are few: it goes on products of columns, as plain numbers.
@@ -97,6 +101,51 @@ def lasso_terms(a: np.ndarray, values: np.ndarray, most: int) -> np.ndarray:
     return best
 
 
+def lasso_terms_together(designs: list[np.ndarray], values: list[np.ndarray], most: list[int]) -> list[np.ndarray]:
+    """`lasso_terms` of many problems of as many columns, by the same steps, each problem at its own penalty and sweep.
+
+    The last few problems go on one by one, where that is the faster way.
+    """
+    count, m, n = len(designs), designs[0].shape[1] - 1 if designs else 0, max(map(len, designs), default=0)
+    best = [np.empty(0, int)] * count
+    if not count or not m:
+        return best
+    a, z = np.zeros((count, n, m)), np.zeros((count, n))
+    for i, (d, v) in enumerate(zip(designs, values)):
+        a[i, : len(d)], z[i, : len(d)] = d[:, 1:] - d[:, 1:].mean(0), v - v.mean()
+    rows, most = np.array([len(d) for d in designs]), np.array(most)
+    lane, at, swept, going = np.arange(count), np.zeros(count, int), np.zeros(count, int), np.ones(count, bool)
+    products = np.ascontiguousarray((a.transpose(0, 2, 1) @ a).transpose(1, 2, 0))
+    w, pulls, bound = np.zeros((m, count)), (a.transpose(0, 2, 1) @ z[:, :, None])[:, :, 0].T.copy(), PENALTIES[0] * rows
+    by = np.stack([np.where(products[j, j] > 0, products[j, j], 1.0) for j in range(m)])
+    while going.sum() > ALONE:
+        if going.mean() < 0.75:
+            lane, at, swept, bound, w, pulls, by, products = (x[..., going] for x in (lane, at, swept, bound, w, pulls, by, products))
+            going = np.ones(len(lane), bool)
+        moved = np.zeros(len(lane))
+        for j in range(m):
+            pull = products[j, j] * w[j]
+            pull += pulls[j]
+            new = np.sign(pull) * np.maximum(np.abs(pull) - bound, 0.0) / by[j]
+            step = new - w[j]
+            w[j] = new
+            np.maximum(moved, np.abs(step), out=moved)
+            pulls -= products[j] * step
+        swept += 1
+        for i in np.flatnonzero(going & ((moved <= 1e-4 * np.maximum(1e-12, np.abs(w).max(0))) | (swept == SWEEPS))).tolist():
+            k, chosen = lane[i], np.flatnonzero(w[:, i]) + 1
+            if len(best[k]) < len(chosen) <= most[k]:
+                best[k] = chosen
+            at[i], swept[i] = at[i] + 1, 0
+            if len(chosen) >= most[k] or at[i] == len(PENALTIES):
+                going[i] = False
+            else:
+                bound[i], pulls[:, i] = PENALTIES[at[i]] * rows[k], a[k].T @ (z[k] - a[k] @ w[:, i])
+    for k in lane[going].tolist():
+        best[k] = lasso_terms(designs[k], values[k], most[k])
+    return best
+
+
 def _of_columns(a: np.ndarray, values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     out = np.zeros(a.shape[1])
     out[chosen] = np.linalg.lstsq(a[:, chosen], values, rcond=None)[0]
@@ -171,25 +220,53 @@ def predict(evaluation: DataFrame, train: DataFrame, features: list[str], *, k:
     members = asked.select(F.col("hood").alias("of")).distinct().select("of", F.explode("of").alias("tid"))
     members = members.join(train.select(F.col(tid).cast("long").alias("tid"), F.array(*(F.col(f).cast("double") for f in features)).alias("point"), F.col(target).cast("double").alias("z")), "tid")
     schema = SCHEMA + (", errors array<double>, counts array<int>" if details else "")
+    spark = evaluation.sparkSession
+    cores, per = spark.sparkContext.defaultParallelism, max(1, min(PART, LISTED // max(k, 1) ** 2))
+    parts = max(-(-evaluation.count() // per), 2 * cores)
+    tasks = min(parts, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # fitting is long for few bytes: as many tasks as named, which are not put together by their bytes
+    dealt = lambda df, hood: df.withColumn("part", F.pmod(F.xxhash64(hood), F.lit(parts))).repartition(tasks, "part").groupBy("part")
 
     def fit(key, points: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = {c.split()[0]: [] for c in schema.split(", ")}
         if points.empty or rows.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        rows = rows.sort_values("tid")
-        x, z = np.stack(rows.point.to_numpy()), rows.z.to_numpy()
-        shift, scale = x.mean(0), x.std(0)
-        scale[scale == 0] = 1.0
-        x = (x - shift) / scale
-        chosen, fits, errors = choose_degree(x, z, degree, folds, terms)
-        model = solve(x, z, chosen, fits, terms)
-        out = design((np.stack(points.point.to_numpy()) - shift) / scale, chosen) @ model
-        found = {"eid": points.eid, "sm": np.clip(out, low, high), "degree": chosen}
-        if details:
-            counts = degree_counts(model, x.shape[1], chosen)
-            found |= {"errors": [errors] * len(points), "counts": [counts + [0] * (degree - chosen)] * len(points)}
+            return pd.DataFrame(found)
+        asked_of, known = ({h: group for h, group in df.groupby(df[c].map(lambda ids: ids.tobytes()), sort=True)} for df, c in ((points, "hood"), (rows, "of")))
+        hoods = [h for h in asked_of if h in known]
+        known = [known[h].sort_values("tid") for h in hoods]
+        x, z = [np.stack(r.point.to_numpy()) for r in known], [r.z.to_numpy() for r in known]
+        shift, scale = [p.mean(0) for p in x], [p.std(0) for p in x]
+        for s in scale:
+            s[s == 0] = 1.0
+        x = [(p - m) / s for p, m, s in zip(x, shift, scale)]
+        for h, (chosen, model, errors) in enumerate(_chosen(x, z, degree, folds, terms)):
+            mine = asked_of[hoods[h]]
+            out = design((np.stack(mine.point.to_numpy()) - shift[h]) / scale[h], chosen) @ model
+            found["eid"] += mine.eid.tolist()
+            found["sm"] += np.clip(out, low, high).tolist()
+            found["degree"] += [chosen] * len(mine)
+            if details:
+                counts = degree_counts(model, x[h].shape[1], chosen)
+                found["errors"] += [errors] * len(mine)
+                found["counts"] += [counts + [0] * (degree - chosen)] * len(mine)
         return pd.DataFrame(found)
 
-    return asked.groupBy("hood").cogroup(members.groupBy("of")).applyInPandas(fit, schema)
+    return dealt(asked, "hood").cogroup(dealt(members, "of")).applyInPandas(fit, schema)
+
+
+def _chosen(points: list[np.ndarray], values: list[np.ndarray], most: int, folds: int | None, terms: Terms) -> list[tuple[int, np.ndarray, list[float]]]:
+    """(degree, model, errors) of neighbourhoods: together those of as many rows, where the lasso chooses terms."""
+    out = [None] * len(points)
+    if terms.kind == "lasso":
+        for n in {len(z) for z in values}:
+            mine = [h for h, z in enumerate(values) if len(z) == n]
+            for h, found in zip(mine, choose_together(np.stack([points[h] for h in mine]), np.stack([values[h] for h in mine]), most, folds, terms)):
+                out[h] = found
+        return out
+    for h, (x, z) in enumerate(zip(points, values)):
+        chosen, fits, errors = choose_degree(x, z, most, folds, terms)
+        out[h] = chosen, solve(x, z, chosen, fits, terms), errors
+    return out
 
 
 def _predict_in_place(rows: DataFrame, sent, k: int, degree: int, low: float, high: float) -> DataFrame:
@@ -240,6 +317,35 @@ def fit_together(points: np.ndarray, values: np.ndarray, most: int) -> tuple[np.
     return degrees, models
 
 
+def choose_together(points: np.ndarray, values: np.ndarray, most: int, folds: int | None = None, terms: Terms = Terms("lasso")) -> list[tuple[int, np.ndarray, list[float]]]:
+    """(degree, model, errors) of many neighbourhoods (H, n, variables): `choose_degree` and `solve` where the lasso chooses terms."""
+    count, n, variables = points.shape
+    fold = np.arange(n) if folds is None or folds >= n else np.random.default_rng([terms.seed, n]).permutation(n) % folds
+    designs = [design(points.reshape(-1, variables), d).reshape(count, n, -1) for d in range(most + 1)]
+    errors = np.zeros((count, most + 1))
+    for d, a in enumerate(designs):
+        parts = [fold != k for k in range(fold.max() + 1 if n > 1 else 0)]
+        parts = [inside for inside in parts if inside.any()]
+        fits = _solved_together([a[h, inside] for inside in parts for h in range(count)], [values[h, inside] for inside in parts for h in range(count)])
+        for k, inside in enumerate(parts):
+            missed = np.array([float(((a[h, ~inside] @ fits[k * count + h] - values[h, ~inside]) ** 2).sum()) for h in range(count)])
+            errors[:, d] += np.where(np.isfinite(missed), np.minimum(missed, MOST_ERROR), MOST_ERROR)
+    degrees, models = errors.argmin(1), [None] * count
+    for d in range(most + 1):
+        mine = np.flatnonzero(degrees == d).tolist()
+        for h, model in zip(mine, _solved_together([designs[d][h] for h in mine], [values[h] for h in mine])):
+            models[h] = model
+    return list(zip(degrees.tolist(), models, errors.tolist()))
+
+
+def _solved_together(designs: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+    """`_solved` of many designs of as many columns, where the lasso chooses terms."""
+    short = [a.shape[1] > a.shape[0] or np.linalg.matrix_rank(a) < a.shape[1] for a in designs]
+    left = [i for i, s in enumerate(short) if s]
+    terms = dict(zip(left, lasso_terms_together([designs[i] for i in left], [values[i] for i in left], [len(values[i]) - 1 for i in left])))
+    return [_of_columns(a, z, np.concatenate([[0], terms[i]])) if i in terms else np.linalg.solve(a.T @ a, a.T @ z) for i, (a, z) in enumerate(zip(designs, values))]
+
+
 def farthest(evaluation: DataFrame, train: DataFrame, features: list[str], eid: str, tid: str) -> DataFrame:
     """(eid, far): the training row farthest from each evaluation row, the largest id of equally far ones.
 

@@ -1,5 +1,7 @@
 """Files, flow, models and neighbour search against brute force on small tables."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +183,29 @@ def test_neighbourhoods_are_fitted_together_as_alone():
     assert len(set(degrees.tolist())) > 2 and local_polynomial.fit_together(x[:, :1], z[:, :1], 2)[0].tolist() == [0] * 40
 
 
+def test_lasso_of_many_neighbourhoods_together():
+    """Together as one by one, in a small part of the time."""
+    rng, terms = np.random.default_rng(4), local_polynomial.Terms("lasso")
+    x, z = rng.normal(size=(120, 8, 3)), rng.integers(0, 10, (120, 8)) / 10
+    x[0], x[1, :, 2], z[2] = 0.0, x[1, :, 1], 0.3
+    for folds in (None, 3):
+        began = time.perf_counter()
+        got = local_polynomial.choose_together(x, z, 2, folds, terms)
+        mid = time.perf_counter()
+        for (degree, model, errors), p, v in zip(got, x, z):
+            chosen, fits, summed = local_polynomial.choose_degree(p, v, 2, folds, terms)
+            assert chosen == degree and np.allclose(errors, summed, rtol=1e-9, atol=1e-9)
+            assert np.allclose(model, local_polynomial.solve(p, v, chosen, fits, terms), rtol=1e-6, atol=1e-9)
+        assert mid - began < (time.perf_counter() - mid) / 2
+
+
+def test_few_neighbourhoods_are_fitted_in_many_tasks(spark):
+    rows = spark.range(60).selectExpr("id tid", "id eid", "cast(id * id % 17 as double) x", "cast(id % 7 as double) y", "id % 10 / 10D z")
+    out = local_polynomial.predict(rows, rows, ["x", "y"], k=6, degree=2, terms=local_polynomial.Terms("lasso"), details=True)
+    where = out.withColumn("task", F.spark_partition_id()).collect()
+    assert len(where) == 60 and len({r.task for r in where}) > 1
+
+
 def test_terms_of_the_lasso():
     r = np.random.default_rng(5)
     a = np.column_stack([np.ones(40), r.normal(size=(40, 8))])
