@@ -6,9 +6,12 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import knn
+
 #: Statistics of one column, and of a pair, by name.
 ONE = {
     "count": lambda c: F.count(c).cast("double"),
@@ -22,6 +25,8 @@ ONE = {
 QUANTILES = {"qnt25": 0.25, "qnt75": 0.75}
 #: Parts that each pass of `quantiles` divides an interval into.
 PARTS = 1024
+#: Points of a run of the variogram, and runs of a group.
+RUN = 16
 TWO = {
     "corr": F.corr,
     "count": lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).cast("double"),
@@ -140,9 +145,14 @@ def above_percentile(df: DataFrame, column: str, q: float = 0.7) -> DataFrame:
 def variogram(points: DataFrame, x: str, y: str, z: str, width: float, bins: int) -> DataFrame:
     """(bin, n, gamma): half the mean squared difference of pairs by distance.
 
-    Points meet by squares as wide as the largest distance, each with its own and half of the neighbouring ones, so that
-    every pair meets once.
+    While the points fit knn.BROADCAST_BYTES they are broadcast in runs of near ones: pairs of runs whose boxes lie
+    within one bin of each other count at once by the moments of their values, and only those that a bin's edge may
+    divide are compared point by point. Beyond it points meet by squares as wide as the largest distance, each with its
+    own and half of the neighbouring ones. Either way every pair meets once.
     """
+    whole = points.select(*(F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z")))).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    if whole.count() * 24 <= knn.BROADCAST_BYTES:
+        return _variogram_in_place(whole, width, bins)
     far = width * bins
     own = points.select(F.monotonically_increasing_id().alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z")).withColumns({"gx": F.floor(F.col("x") / far), "gy": F.floor(F.col("y") / far)})
     ways = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (0, 1), (1, 1), (-1, 1))))
@@ -154,6 +164,85 @@ def variogram(points: DataFrame, x: str, y: str, z: str, width: float, bins: int
     return both.select(F.floor(gap / width).alias("bin"), F.pow(F.col("a.z") - F.col("b.z"), 2).alias("sq")).where(F.col("bin") < bins).groupBy("bin").agg(F.count("*").alias("n"), (F.avg("sq") / 2).alias("gamma"))
 
 
+def _variogram_in_place(whole: DataFrame, width: float, bins: int) -> DataFrame:
+    spark, table = whole.sparkSession, whole.toArrow()
+    sent = spark.sparkContext.broadcast(Runs(np.column_stack([table["x"].to_numpy(), table["y"].to_numpy()]), table["z"].to_numpy(), table["z"].is_valid().to_numpy()))
+    groups = sent.value.groups
+
+    def run(batches):
+        total = np.zeros((3, bins))
+        for b in batches:
+            for g in b["id"].to_pylist():
+                total += sent.value.sums(g, width, bins)
+        yield pa.RecordBatch.from_arrays([pa.array(range(bins)), *(pa.array(t) for t in total)], ["bin", "n", "m", "sq"])
+
+    # the later a group, the fewer it meets: they are dealt in turn
+    tasks = max(1, min(groups, 8 * spark.sparkContext.defaultParallelism))
+    dealt = spark.range(0, tasks, 1, tasks).select(F.explode(F.sequence(F.col("id"), F.lit(max(groups, tasks) - 1), F.lit(tasks))).alias("id")).where(F.col("id") < groups)
+    found = dealt.mapInArrow(run, "bin long, n double, m double, sq double").groupBy("bin").agg(*(F.sum(c).alias(c) for c in ("n", "m", "sq")))
+    return found.where("n > 0").select("bin", F.col("n").cast("long").alias("n"), (F.try_divide("sq", "m") / 2).alias("gamma"))
+
+
+class Runs:
+    """Points in runs of RUN near ones, and these in groups of as many runs, with their boxes and moments."""
+
+    def __init__(self, points: np.ndarray, z: np.ndarray, known: np.ndarray):
+        leaf = knn.Tree(points, max(1, len(points) // RUN)).leaf(points)
+        order, short = np.argsort(leaf, kind="stable"), -len(points) % (RUN * RUN)
+        z = np.where(known, z - (z[known & np.isfinite(z)].mean() if (known & np.isfinite(z)).any() else 0.0), 0.0)
+        pad = lambda v, last: np.concatenate([v[order], np.repeat(last, short, 0)]).reshape(-1, RUN, *v.shape[1:])
+        self.points = pad(points, points[order[-1:]]) if len(points) else np.empty((0, RUN, 2))
+        self.z, self.known, self.real = pad(z, [0.0]), pad(known.astype(float), [0.0]), pad(np.ones(len(points)), [0.0])
+        self.xs, self.ys = (np.ascontiguousarray(self.points[..., c]) for c in (0, 1))
+        self.full = (self.known.sum(1) == RUN) & (self.real.sum(1) == RUN)
+        self.low, self.high = self.points.min(1), self.points.max(1)
+        self.moments = np.stack([v.sum(1) for v in (self.real, self.known, self.z, self.z**2)])
+        self.groups = len(self.points) // RUN
+
+    def _bins(self, low, high, low_, high_, width: float):
+        """The bins of the least and the largest distance between boxes, a little wider than they are."""
+        near, far = (np.sqrt((d**2).sum(-1)) for d in (np.maximum(np.maximum(low_ - high, low - high_), 0), np.maximum(high_ - low, high - low_)))
+        return np.floor(near * (1 - 1e-9) / width), np.floor(far * (1 + 1e-9) / width)
+
+    def sums(self, g: int, width: float, bins: int) -> np.ndarray:
+        """Pairs, pairs of known values and summed squares, by bin, of a group with itself and those after it."""
+        out, mine = np.zeros((3, bins)), slice(g * RUN, (g + 1) * RUN)
+        low, high = (v.reshape(-1, RUN, 2) for v in (self.low[mine.start :], self.high[mine.start :]))
+        near, far = self._bins(low[0].min(0), high[0].max(0), low.min(1), high.max(1), width)
+        at_once = self.moments[:, mine.start :].reshape(4, -1, RUN).sum(2)
+        one = (near == far) & (np.arange(len(near)) > 0)
+        self._add(out, near[one], at_once[:, :1], at_once[:, one])
+        for other in np.flatnonzero(~one & (near < bins)).tolist():
+            theirs = slice(mine.start + other * RUN, mine.start + (other + 1) * RUN)
+            near_, far_ = self._bins(self.low[mine, None], self.high[mine, None], self.low[None, theirs], self.high[None, theirs], width)
+            first, second = np.indices(near_.shape)
+            met = near_ < bins if other else (near_ < bins) & (first <= second)
+            one_ = met & (near_ == far_) & ((other > 0) | (first < second))
+            i, j = first[one_] + mine.start, second[one_] + theirs.start
+            self._add(out, near_[one_], self.moments[:, i], self.moments[:, j])
+            i, j = first[met & ~one_] + mine.start, second[met & ~one_] + theirs.start
+            gap = (self.xs[i, :, None] - self.xs[j, None]) ** 2
+            gap += (self.ys[i, :, None] - self.ys[j, None]) ** 2
+            bin_ = np.minimum(np.sqrt(gap, out=gap) / width, bins).astype(np.int64)
+            if other and self.full[i].all() and self.full[j].all():
+                n = np.bincount(bin_.ravel(), minlength=bins + 1)[:bins]
+                out += np.stack([n, n, np.bincount(bin_.ravel(), ((self.z[i, :, None] - self.z[j, None]) ** 2).ravel(), bins + 1)[:bins]])
+                continue
+            both = self.real[i, :, None] * self.real[j, None]
+            both[i == j] *= np.triu(np.ones((RUN, RUN)), 1)
+            known = both * self.known[i, :, None] * self.known[j, None]
+            sq = (self.z[i, :, None] - self.z[j, None]) ** 2
+            for row, v in zip(out, (both, known, np.where(known > 0, sq, 0.0))):
+                row += np.bincount(bin_.ravel(), v.ravel(), bins + 1)[:bins]
+        return out
+
+    @staticmethod
+    def _add(out: np.ndarray, bin_: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        inside = bin_ < out.shape[1]
+        for row, v in zip(out, (a[0] * b[0], a[1] * b[1], a[1] * b[3] + b[1] * a[3] - 2 * a[2] * b[2])):
+            row += np.bincount(bin_[inside].astype(np.int64), v[inside], out.shape[1])
+
+
 def _shape(model: str, gap: np.ndarray, reach: float) -> np.ndarray:
     t = gap / reach
     if model == "spherical":

@@ -128,6 +128,24 @@ def test_variogram_model_is_that_of_its_sql(spark, tmp_path, kind):
     assert [tuple(r) for r in QUERIES["variogram_fit"](spark, str(tmp_path)).collect()] == want and len(want) == (kind in ("falling", "rising"))
 
 
+def test_variogram_in_runs_equals_all_pairs(spark, monkeypatch):
+    """Broadcast in runs as by squares, with equal points, missing values and distances at the edges; far fewer are compared."""
+    rng = np.random.default_rng(1)
+    table = [(float(a), float(b), None if i % 9 == 0 else i % 10 / 10) for i, (a, b) in enumerate([*rng.normal(0, 0.1, (900, 2)), *[(0.25, 0.0)] * 200, *[(0.05 * k, 0.0) for k in range(-5, 6)]])]
+    df = spark.createDataFrame([*table, (None, 0.0, 1.0)], "x double, y double, z double")
+    got = rows(stats.variogram(df, "x", "y", "z", 0.05, 4), "bin")
+    monkeypatch.setattr(stats.knn, "BROADCAST_BYTES", 0)
+    want = rows(stats.variogram(df, "x", "y", "z", 0.05, 4), "bin")
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-11)
+    at = rng.random((8192, 2))
+    counted, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda v, *a, **b: counted.append(v.size) or count(v, *a, **b))
+    many = stats.Runs(at, at[:, 0], np.ones(len(at), bool))
+    for g in range(many.groups):
+        many.sums(g, 0.3, 4)
+    assert sum(counted) < 8192**2 / 2
+
+
 def test_variogram_ranges_round_as_in_sql(spark):
     import duckdb
 
